@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dup
+from . import decontaminate, near_dup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,5 +19,22 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op8_near_duplicates": op8_near_duplicates}
-ORACLE: dict[str, str] = {}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op10_suffix_dedup": op10_suffix_dedup, "op1_decontamination": op1_decontamination, "op8_near_duplicates": op8_near_duplicates}
+ORACLE: dict[str, str] = {
+    "op10_suffix_dedup": r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS ws
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+v AS (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 49, 0)::BIGINT)) AS p FROM w),
+t AS (SELECT doc_id, p, array_to_string(ws[p + 1 : p + 50], ' ') AS passage FROM v),
+r AS (SELECT passage FROM t GROUP BY passage HAVING count(DISTINCT doc_id) > 1),
+h AS (SELECT DISTINCT doc_id, p FROM t WHERE passage IN (SELECT passage FROM r)),
+i AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 OR lag(p) OVER (PARTITION BY doc_id ORDER BY p) IS NULL THEN 1 ELSE 0 END AS fresh FROM h),
+g AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM i)
+SELECT doc_id, min(p) AS start_word, max(p) + 50 AS end_word, max(p) + 50 - min(p) AS n_words FROM g GROUP BY doc_id, island
+""",
+}
