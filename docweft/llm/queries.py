@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dup, suffix_dedup
+from . import decontaminate, line_dedup, near_dup, pieces, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +23,25 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_suffix_dedup": op10_suffix_dedup, "op1_decontamination": op1_decontamination, "op8_near_duplicates": op8_near_duplicates}
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_boilerplate(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed_lines")
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_sentencepiece": op2_sentencepiece, "op5_line_dedup": op5_line_dedup, "op10_suffix_dedup": op10_suffix_dedup, "op1_decontamination": op1_decontamination, "op8_near_duplicates": op8_near_duplicates}
 ORACLE: dict[str, str] = {
+    "op5_line_dedup": r"""
+WITH l AS (SELECT source, trim(unnest(string_split(text, chr(10))), E' \t\r\f\x0b') AS line FROM documents WHERE source IS NOT NULL),
+b AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10),
+d AS (SELECT row_number() OVER () AS k, doc_id, text FROM documents),
+e AS (SELECT k, generate_subscripts(string_split(text, chr(10)), 1) AS p, unnest(string_split(text, chr(10))) AS line FROM d),
+f AS (SELECT k, p, line, trim(line, E' \t\r\f\x0b') IN (SELECT line FROM b) AS cut FROM e),
+g AS (SELECT k, string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT cut) AS text, count(*) FILTER (WHERE cut) AS n FROM f GROUP BY k)
+SELECT doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(g.text, '') END AS text, coalesce(n, 0)::INTEGER AS n_removed_lines FROM d LEFT JOIN g USING (k)
+""",
     "op10_suffix_dedup": r"""
 WITH w AS (
   SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS ws
