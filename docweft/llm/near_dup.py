@@ -53,16 +53,6 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def shingle_sets(docs: DataFrame, n: int = 3) -> DataFrame:
-    """``doc_id, grams``: the sorted distinct hashed word n-grams of every text."""
-
-    def run(batches):
-        for b, sets in _sets(batches, n):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(sets)], ["doc_id", "grams"])
-
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, grams array<bigint>")
-
-
 def sketches(docs: DataFrame, n: int = 3, k: int = 64) -> DataFrame:
     """``doc_id, s1, s2, n, sketch``: a 128-bit hash of the set, its size, its k smallest hashes (ascending as unsigned)."""
 
@@ -77,70 +67,109 @@ def sketches(docs: DataFrame, n: int = 3, k: int = 64) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, s1 bigint, s2 bigint, n int, sketch array<bigint>")
 
 
-def candidate_pairs(nodes: DataFrame, threshold: float, slack: float, k: int) -> DataFrame:
-    """``a, b`` (a < b) of nodes whose union sketch estimates at least ``threshold - slack``."""
-    least = threshold - slack
+def prefixes(nodes: DataFrame, least: float) -> DataFrame:
+    """``rep, n, sketch, vs``: the rarest retained values by which a node must meet a partner; nodes that can't have one are left out."""
     values = nodes.select("rep", F.explode("sketch").alias("value"))
-    shared = values.withColumn("f", F.count("*").over(Window.partitionBy("value"))).where("f > 1")
     # Values are unique within a sketch, so a frequency above one means another node.
-    need = F.greatest(F.lit(1), F.ceil(F.lit(least) * F.size("sketch") - F.lit(1e-9)).cast("int"))
+    shared = values.withColumn("f", F.count("*").over(Window.partitionBy("value"))).where("f > 1")
     kept = shared.groupBy("rep").agg(F.collect_list(F.struct("f", "value")).alias("vs"))
+    need = F.greatest(F.lit(1), F.ceil(F.lit(least) * F.size("sketch") - F.lit(1e-9)).cast("int"))
     sk = nodes.select("rep", "n", "sketch", need.alias("need"))
-    prefixes = C.cut(kept.join(sk, "rep").where(F.size("vs") >= F.col("need")).select("rep", "n", "sketch", F.transform(F.slice(F.array_sort("vs"), 1, F.size("vs") - F.col("need") + 1), lambda x: x["value"]).alias("vs")))
-    listed = prefixes.select("rep", "n", F.explode("vs").alias("value"))
-    left, right = (listed.select("value", F.col("rep").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    near_size = F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - F.lit(1e-9)
-    pairs = left.join(right, "value").where(F.col("a") < F.col("b")).where(near_size).select("a", "b").distinct()
-    sk = prefixes.select("rep", "sketch")
-    both = pairs.join(sk.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a").join(sk.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
-
-    def estimate(batches):
+    rarest = F.transform(F.slice(F.array_sort("vs"), 1, F.size("vs") - F.col("need") + 1), lambda x: x["value"])
+    return kept.join(sk, "rep").where(F.size("vs") >= F.col("need")).select("rep", "n", "sketch", rarest.alias("vs"))
+
+
+def _near_size(threshold: float):
+    return F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - F.lit(1e-9)
+
+
+def estimated(pairs: DataFrame, sketched: DataFrame, least: float, k: int) -> DataFrame:
+    """The ``a, b`` whose union sketch estimates a Jaccard index of at least ``least``."""
+    x, y = (sketched.select(F.col("rep").alias(c), F.col("sketch").alias(f"s_{c}")) for c in "ab")
+
+    def run(batches):
         for t in batches:
             keep = np.zeros(t.num_rows, bool)
-            (xv, xo), (yv, yo) = ((np.asarray(c.values).view(np.uint64), np.asarray(c.offsets)) for c in (t.column("x"), t.column("y")))
+            (xv, xo), (yv, yo) = ((np.asarray(c.values).view(np.uint64), np.asarray(c.offsets)) for c in (t.column("s_a"), t.column("s_b")))
             for i in range(t.num_rows):
-                x, y = xv[xo[i] : xo[i + 1]], yv[yo[i] : yo[i + 1]]
-                u = np.sort(np.concatenate((x, y)))
+                u = np.sort(np.concatenate((xv[xo[i] : xo[i + 1]], yv[yo[i] : yo[i + 1]])))
                 twice = u[1:] == u[:-1]
-                fresh = np.concatenate(([True], ~twice))
-                size = min(k, int(fresh.sum()))
-                last = u[fresh][size - 1]
-                keep[i] = np.count_nonzero(twice & (u[1:] <= last)) >= least * size - 1e-9
+                fresh = u[np.concatenate(([True], ~twice))]
+                size = min(k, len(fresh))
+                keep[i] = np.count_nonzero(twice & (u[1:] <= fresh[size - 1])) >= least * size - 1e-9
             yield t.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(estimate, "a bigint, b bigint").distinct()
+    return pairs.join(x, "a").join(y, "b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def near_pairs(docs: DataFrame, threshold: float = 0.6, n: int = 3, k: int = 64, slack: float = 0.15) -> tuple[DataFrame, DataFrame]:
-    """``(members, pairs)``: members ``doc_id, rep`` of every text that has a word, pairs ``a, b, jaccard`` of representatives.
+def verified(pairs: DataFrame, docs: DataFrame, threshold: float, n: int) -> DataFrame:
+    """``a, b, jaccard`` of the pairs whose whole n-gram sets reach the threshold.
 
-    Texts without a word are like no other. A null ``doc_id`` names no document and is left out; rows that
-    share a ``doc_id`` are one document. Columns besides ``doc_id`` and ``text`` are not read.
+    Texts travel to the pairs rather than sets, which take more than twice the room.
     """
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
-    seen = C.cut(sketches(docs, n, k).where("n > 0"))
-    nodes = seen.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    # A doc_id that stands for several sets keeps a sketch of each; a row is one set.
-    nodes = C.cut(nodes)
-    members = seen.select("doc_id", "s1", "s2").join(nodes.select("s1", "s2", "rep"), ["s1", "s2"]).select("doc_id", "rep").distinct()
-    pairs = C.cut(candidate_pairs(nodes, threshold, slack, k))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     if pairs.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    sets = shingle_sets(docs.join(wanted, "doc_id", "left_semi"), n)
-    a, b = (sets.select(F.col("doc_id").alias(x), F.col("grams").alias(f"g_{x}")) for x in "ab")
-    both = F.size(F.array_intersect("g_a", "g_b"))
-    exact = pairs.join(a, "a").join(b, "b").withColumn("i", both).select("a", "b", (F.col("i") / (F.size("g_a") + F.size("g_b") - F.col("i"))).alias("jaccard"))
-    return members, exact.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-9)
+    own = docs.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    x, y = (own.select(F.col("doc_id").alias(c), F.col("text").alias(f"t_{c}")) for c in "ab")
+
+    def run(batches):
+        for t in C.slices(batches, "t_a"):
+            ta, tb = t.column("t_a").dictionary_encode(), t.column("t_b").dictionary_encode()
+            sa, sb = (next_sets(c.dictionary, n) for c in (ta, tb))
+            j = np.zeros(t.num_rows)
+            for i, (p, q) in enumerate(zip(ta.indices.to_pylist(), tb.indices.to_pylist())):
+                a, b = sa[p], sb[q]
+                both = len(a) + len(b) - len(np.union1d(a, b))
+                j[i] = both / (len(a) + len(b) - both)
+            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(j)], ["a", "b", "jaccard"]).filter(pa.array(j >= threshold - 1e-9))
+
+    found = pairs.join(x, "a").join(y, "b").mapInArrow(run, "a bigint, b bigint, jaccard double")
+    return found.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+
+
+def next_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    return [s for _, sets in _sets(iter([batch]), n) for s in sets]
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.6, n: int = 3, k: int = 64, slack: float = 0.15) -> DataFrame:
     """``doc_id, kept_doc_id, group_size`` of every document that has a near copy; the smallest id of a group is kept.
 
-    Documents without a near copy, without a word, or without a ``doc_id`` have no row. Rows that share a
-    ``doc_id`` are one document: it is near another if any of its rows is.
+    Two documents are near if the Jaccard index of their n-gram sets is at least ``threshold``; groups are the connected
+    components. Members of an inverted list are first held against its smallest and its largest id; then
+    all pairs of a list that are not yet in one group, so no pair that could change a group is left out
+    and a group of m copies costs about m pairs, not m * m.
+
+    Texts without a word are like no other. Documents without a near copy or without a ``doc_id`` have no
+    row. Rows that share a ``doc_id`` are one document, near another if any of its rows is. Columns besides
+    ``doc_id`` and ``text`` are not read.
     """
-    members, pairs = near_pairs(docs, threshold, n, k, slack)
-    edges = pairs.select("a", "b").unionByName(members.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    found = C.components(edges)
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    least = threshold - slack
+    seen = C.cut(sketches(docs, n, k).where("n > 0"))
+    nodes = seen.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    listed = C.cut(prefixes(nodes, least))
+    same = seen.select("doc_id", "s1", "s2").withColumn("rep", F.min("doc_id").over(Window.partitionBy("s1", "s2"))).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    entries = listed.select("rep", "n", F.explode("vs").alias("value"))
+    by_value = Window.partitionBy("value")
+    me = F.struct("rep", "n")
+    ends = entries.select(me.alias("x"), F.array(F.min(me).over(by_value), F.max(me).over(by_value)).alias("ends")).select("x", F.explode("ends").alias("y"))
+    stars = ends.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x.rep < y.rep")
+    stars = stars.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).where(_near_size(threshold)).select("a", "b").distinct()
+    tried = C.cut(estimated(stars, listed, least, k))
+    first = C.cut(verified(tried, docs, threshold, n).select("a", "b"))
+
+    group = C.components(first)
+    grouped = entries.join(group.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    lists = grouped.groupBy("value", "root").agg(F.collect_list(me).alias("members"))
+    lists = lists.withColumn("groups", F.count("*").over(by_value)).where("groups > 1")
+    left, right = (lists.select("value", F.col("root").alias(f"r_{c}"), F.col("members").alias(f"m_{c}")) for c in "ab")
+    across = left.join(right, "value").where("r_a < r_b").select(F.explode("m_a").alias("x"), "m_b").select("x", F.explode("m_b").alias("y"))
+    across = across.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x.rep < y.rep")
+    across = across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).where(_near_size(threshold)).select("a", "b").distinct()
+    later = C.cut(estimated(across, listed, least, k).join(tried, ["a", "b"], "left_anti"))
+    second = verified(later, docs, threshold, n).select("a", "b")
+
+    found = C.components(same.unionByName(first).unionByName(second))
     return found.select(F.col("node").alias("doc_id"), F.col("root").alias("kept_doc_id"), F.count("*").over(Window.partitionBy("root")).alias("group_size"))
