@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, near_dup, pieces, suffix_dedup, toxicity
+from . import class_lm, decontaminate, line_dedup, near_dup, pieces, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +36,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op9_toxicity": op9_toxicity, "op2_sentencepiece": op2_sentencepiece, "op5_line_dedup": op5_line_dedup, "op10_suffix_dedup": op10_suffix_dedup, "op1_decontamination": op1_decontamination, "op8_near_duplicates": op8_near_duplicates}
+def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return class_lm.scored(docs, class_lm.train(docs))
+
+
+QUERIES = {"op4_class_lm": op4_class_lm, "op9_toxicity": op9_toxicity, "op2_sentencepiece": op2_sentencepiece, "op5_line_dedup": op5_line_dedup, "op10_suffix_dedup": op10_suffix_dedup, "op1_decontamination": op1_decontamination, "op8_near_duplicates": op8_near_duplicates}
 ORACLE: dict[str, str] = {
     "op5_line_dedup": r"""
 WITH l AS (SELECT source, trim(unnest(string_split(text, chr(10))), E' \t\r\f\x0b') AS line FROM documents WHERE source IS NOT NULL),
