@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import class_lm, decontaminate, line_dedup, near_dup, pieces, suffix_dedup, surrogates, toxicity
+from . import chat_tree, class_lm, decontaminate, line_dedup, near_dup, pieces, suffix_dedup, surrogates, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +45,11 @@ def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymised(_table(spark, sf_dir, "documents"), key="docweft").select("doc_id", "text", "n_replaced")
 
 
-QUERIES = {"op7_surrogates": op7_surrogates, "op4_class_lm": op4_class_lm, "op9_toxicity": op9_toxicity, "op2_sentencepiece": op2_sentencepiece, "op5_line_dedup": op5_line_dedup, "op10_suffix_dedup": op10_suffix_dedup, "op1_decontamination": op1_decontamination, "op8_near_duplicates": op8_near_duplicates}
+def op3_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_tree.packed(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {"op3_chat_tree": op3_chat_tree, "op7_surrogates": op7_surrogates, "op4_class_lm": op4_class_lm, "op9_toxicity": op9_toxicity, "op2_sentencepiece": op2_sentencepiece, "op5_line_dedup": op5_line_dedup, "op10_suffix_dedup": op10_suffix_dedup, "op1_decontamination": op1_decontamination, "op8_near_duplicates": op8_near_duplicates}
 ORACLE: dict[str, str] = {
     "op5_line_dedup": r"""
 WITH l AS (SELECT source, trim(unnest(string_split(text, chr(10))), E' \t\r\f\x0b') AS line FROM documents WHERE source IS NOT NULL),
