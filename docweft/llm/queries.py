@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_tree, class_lm, decontaminate, line_dedup, near_dup, pieces, suffix_dedup, surrogates, toxicity
+from . import chat_tree, class_lm, decontaminate, flac, flac_write, line_dedup, near_dup, pieces, suffix_dedup, surrogates, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +52,35 @@ def op3_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_tree.packed(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op3_chat_tree": op3_chat_tree, "op7_surrogates": op7_surrogates, "op4_class_lm": op4_class_lm, "op9_toxicity": op9_toxicity, "op2_sentencepiece": op2_sentencepiece, "op5_line_dedup": op5_line_dedup, "op10_suffix_dedup": op10_suffix_dedup, "op1_decontamination": op1_decontamination, "op8_near_duplicates": op8_near_duplicates}
+def sound(vectors: DataFrame) -> DataFrame:
+    """``vec_id, media``: each vector as a FLAC stream of 16-bit samples, for the tables hold no media. A null vector has none."""
+
+    def run(batches):
+        for b in batches:
+            media = []
+            for v in b.column("embedding").to_pylist():
+                x = np.array([0 if e is None else e for e in v or ()], np.float64)
+                media.append(flac_write.encode(np.round(x * 32767).astype(np.int64)[None, :], block=24, kind="lpc", order=3) if len(x) else None)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(media, pa.binary())], ["vec_id", "media"])
+
+    return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id bigint, media binary")
+
+
+def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = flac.blocks(sound(_table(spark, sf_dir, "embeddings")), "vec_id", "media")
+    return found.select("vec_id", "block", "first_sample", "n_samples", "sample_rate", "channels", "bits", F.lower(F.hex("pcm")).alias("pcm"), "status")
+
+
+QUERIES = {"op6_flac": op6_flac, "op3_chat_tree": op3_chat_tree, "op7_surrogates": op7_surrogates, "op4_class_lm": op4_class_lm, "op9_toxicity": op9_toxicity, "op2_sentencepiece": op2_sentencepiece, "op5_line_dedup": op5_line_dedup, "op10_suffix_dedup": op10_suffix_dedup, "op1_decontamination": op1_decontamination, "op8_near_duplicates": op8_near_duplicates}
 ORACLE: dict[str, str] = {
+    "op6_flac": r"""
+WITH s AS (SELECT vec_id, list_transform(embedding, lambda e: round(coalesce(e, 0)::DOUBLE * 32767)::BIGINT) AS x FROM embeddings WHERE len(embedding) > 0),
+b AS (SELECT vec_id, x, unnest(range(0, (len(x) + 23) // 24)) AS block FROM s),
+c AS (SELECT vec_id, block, x[block * 24 + 1 : block * 24 + 24] AS y FROM b)
+SELECT vec_id, block::INTEGER AS block, block * 24 AS first_sample, len(y)::INTEGER AS n_samples, 16000 AS sample_rate, 1 AS channels, 16 AS bits,
+  array_to_string(list_transform(y, lambda v: printf('%02x%02x', v & 255, (v >> 8) & 255)), '') AS pcm, 'ok' AS status
+FROM c
+""",
     "op5_line_dedup": r"""
 WITH l AS (SELECT source, trim(unnest(string_split(text, chr(10))), E' \t\r\f\x0b') AS line FROM documents WHERE source IS NOT NULL),
 b AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10),
