@@ -7,6 +7,7 @@ index ranges into it, and their 64-bit hashes come from a prefix polynomial over
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
+#: Ids that are sent to every executor; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -41,6 +44,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder: smaller than ``cut`` for whole texts."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """``docs`` whose ``doc_id`` isn't in ``bad`` (a materialised table of ids); rows with a null id stay."""
+    bad = bad.select("doc_id")
+    return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, "doc_id", "left_anti").select(docs.columns)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():

@@ -39,8 +39,8 @@ def boilerplate(docs: DataFrame, min_sites: int = 10, near: float = 0.5, lg_k: i
     return C.cut(found.where(F.col("n") >= F.lit(hi)).select("h").unionByName(exact))
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = 10, near: float = 0.5, lg_k: int = 10) -> DataFrame:
-    """``docs`` with boilerplate lines cut from ``text``, and ``n_removed_lines``.
+def remove_boilerplate(docs: DataFrame, min_sites: int = 10, near: float = 0.5, lg_k: int = 10, count: str | None = "n_removed_lines") -> DataFrame:
+    """``docs`` with boilerplate lines cut from ``text``, and their number in ``count`` if that is given.
 
     Lines end at ``\\n`` and are compared without blanks at their ends; blank lines are never cut. A null source
     is no site, but its documents are cleaned too. A null text stays null with 0 removed; a text of
@@ -52,14 +52,16 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, near: float = 0.5,
         keys = [r.h for r in bad.collect()]
         kept = F.filter(F.split("text", "\n"), lambda x: ~_hash(x).isin(keys)) if keys else F.split("text", "\n")
         out = docs.withColumn("_dw_kept", kept)
-        out = out.withColumn("n_removed_lines", F.coalesce(F.size(F.split("text", "\n")) - F.size("_dw_kept"), F.lit(0)))
+        if count:
+            out = out.withColumn(count, F.coalesce(F.size(F.split("text", "\n")) - F.size("_dw_kept"), F.lit(0)))
         out = out.withColumn("text", F.array_join("_dw_kept", "\n")).drop("_dw_kept")
     else:
         key = [F.xxhash64("text").alias("_dw_k"), F.length("text").alias("_dw_n")]
         each = docs.where("text is not null").select(*key, F.posexplode(F.split("text", "\n")).alias("_dw_at", "line")).distinct()
         cuts = each.withColumn("h", _hash(F.col("line"))).join(bad, "h", "left_semi").groupBy("_dw_k", "_dw_n").agg(F.collect_set("_dw_at").alias("_dw_cut"))
         out = docs.select("*", *key).join(cuts, ["_dw_k", "_dw_n"], "left")
-        out = out.withColumn("n_removed_lines", F.when(F.col("_dw_cut").isNull(), 0).otherwise(F.size("_dw_cut")))
+        if count:
+            out = out.withColumn(count, F.when(F.col("_dw_cut").isNull(), 0).otherwise(F.size("_dw_cut")))
         kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_dw_cut", i))
         out = out.withColumn("text", F.when(F.col("_dw_cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("_dw_k", "_dw_n", "_dw_cut")
     if "n_chars" in docs.columns:
