@@ -73,10 +73,13 @@ def element_units(x: Column, cfg: Chunking, page_start: Column) -> Column:
 def units(blocks: DataFrame, cfg: Chunking = Chunking()) -> DataFrame:
     """``doc_id, unit, text, kind, atomic, page, chapter, section, page_start, page_end, block_type, n_tok``, numbered by document."""
     start = F.coalesce("page_start", F.lit(1))
+    known = blocks.select(
+        "doc_id", "block", F.coalesce("chapter", F.lit("")).alias("chapter"), F.coalesce("section", F.lit("")).alias("section"),
+        start.alias("page_start"), F.coalesce("page_end", start).alias("page_end"), "block_type", "title", "elements",
+    )
     title = F.when(F.coalesce("title", F.lit("")) != "", F.array(_unit(F.col("title"), "heading", True, F.lit(None)))).otherwise(_none())
     all_units = F.concat(title, F.flatten(F.transform("elements", lambda x: element_units(x, cfg, F.col("page_start")))))
-    ctx = [F.coalesce("chapter", F.lit("")).alias("chapter"), F.coalesce("section", F.lit("")).alias("section"), start.alias("page_start"), F.coalesce("page_end", start).alias("page_end"), "block_type"]
-    flat = blocks.select("doc_id", "block", *ctx, F.posexplode(all_units).alias("at", "u"))
+    flat = known.select("doc_id", "block", "chapter", "section", "page_start", "page_end", "block_type", F.posexplode(all_units).alias("at", "u"))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("block", "at")) - 1
     return flat.select("doc_id", number.alias("unit"), "u.*", "chapter", "section", "page_start", "page_end", "block_type", tokens.counter(cfg.encoding)(F.col("u.text")).alias("n_tok"))
 
@@ -159,13 +162,15 @@ def context_header(chapter: Column, section: Column) -> Column:
 
 def join_units(us: Column) -> Column:
     """Texts line by line, with a mark where the chapter changes within a chunk."""
-    kept = F.filter(us, lambda u: ~T.is_blank(u["text"]))
 
-    def line(u: Column, i: Column) -> Column:
-        changed = (i > 0) & (u["chapter"] != "") & (u["chapter"] != F.get(kept, i - 1)["chapter"])
-        return F.when(changed, F.concat(F.lit("["), u["chapter"], F.lit("]\n"), u["text"])).otherwise(u["text"])
+    def joined(kept: Column) -> Column:
+        def line(u: Column, i: Column) -> Column:
+            changed = (i > 0) & (u["chapter"] != "") & (u["chapter"] != F.get(kept, i - 1)["chapter"])
+            return F.when(changed, F.concat(F.lit("["), u["chapter"], F.lit("]\n"), u["text"])).otherwise(u["text"])
+
+        return F.array_join(F.transform(kept, line), "\n")
 
-    return F.array_join(F.transform(kept, line), "\n")
+    return T.let(F.filter(us, lambda u: ~T.is_blank(u["text"])), joined)
 
 
 def chunks(blocks: DataFrame, names: DataFrame | None = None, cfg: Chunking = Chunking()) -> DataFrame:

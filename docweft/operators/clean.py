@@ -87,5 +87,5 @@ def clean(e: DataFrame, cfg: Cleaning = Cleaning()) -> DataFrame:
     if cfg.collapse_whitespace:
         e = everywhere(e, T.collapse_whitespace)
     if cfg.collapse_blank_lines:
-        e = everywhere(e, T.collapse_blank_lines)
+        e = everywhere(e, lambda x: T.collapse_blank_lines(x))
     return e

@@ -28,11 +28,15 @@ def hashing(text: Column | str) -> Column:
     """Unit-length counts of a text's words by bucket; a text without words has zeros."""
     x = F.col(text) if isinstance(text, str) else text
     bare = F.filter(F.transform(T.words(F.coalesce(x, F.lit(""))), lambda w: F.lower(F.regexp_replace(w, r"^[.,;:!?\"'()\[\]]+|[.,;:!?\"'()\[\]]+$", ""))), lambda w: w != "")
-    at = F.transform(bare, bucket)
-    # Distinct buckets first, so a long text costs one pass for each of at most 64 numbers.
-    counts = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: F.size(F.filter(at, lambda b: b == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(counts, lambda v: F.when(norm > 0, v / norm).otherwise(0.0))
+    n = F.sequence(F.lit(0), F.lit(DIM - 1))
+    # Removal from an array of numbers is a plain loop in the JVM, so a word costs one digest and 64 comparisons.
+    counts = T.let(F.transform(bare, bucket), lambda at: F.transform(n, lambda i: (F.size(at) - F.size(F.array_remove(at, i))).cast("double")))
+
+    def scaled(c: Column) -> Column:
+        norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v))
+        return T.let(norm, lambda m: F.transform(c, lambda v: F.when(m > 0, v / m).otherwise(0.0)))
+
+    return T.let(counts, scaled)
 
 
 def available(module: str) -> bool:

@@ -264,7 +264,7 @@ def markdown_elements(spark, sf):
 
 
 @query("""
-WITH l AS (SELECT l_suppkey AS doc_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS pos, CASE l_returnflag WHEN 'R' THEN 'bullet_list' WHEN 'A' THEN 'numbered_list' ELSE 'blank' END AS cls, l_orderkey FROM lineitem),
+WITH l AS (SELECT l_suppkey AS doc_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_returnflag) AS pos, CASE l_returnflag WHEN 'R' THEN 'bullet_list' WHEN 'A' THEN 'numbered_list' ELSE 'blank' END AS cls, l_orderkey FROM lineitem),
 f AS (SELECT *, CASE WHEN cls IS DISTINCT FROM lag(cls) OVER (PARTITION BY doc_id ORDER BY pos) THEN 1 ELSE 0 END AS fresh FROM l),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM f),
 g AS (SELECT doc_id, run, any_value(cls) AS type, string_agg('o'||l_orderkey, ',' ORDER BY pos) AS items FROM r WHERE cls <> 'blank' GROUP BY doc_id, run)
@@ -273,7 +273,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS ord,
 def list_groups(spark, sf):
     li = _read(spark, sf, "lineitem")
     mark = F.when(F.col("l_returnflag") == "R", "- ").when(F.col("l_returnflag") == "A", "1. ").otherwise("")
-    pos = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber"))
+    pos = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"))
     lines = li.select(F.col("l_suppkey").alias("doc_id"), pos.alias("pos"), F.concat(mark, F.lit("o"), F.col("l_orderkey").cast("string")).alias("line"))
     return elements.group_list_items(lines).select("doc_id", *_big("ord"), "type", F.array_join("items", ",").alias("items"))
 
@@ -556,7 +556,7 @@ def rag_prompt_context(spark, sf):
     return generate.contexts(h).select(F.col("query_id").alias("item_id"), F.md5("context").alias("digest"))
 
 
-@query(_PROMPT.format(t=0.9) + f"SELECT item_id, coalesce(n, 0) AS n_hits, CASE WHEN n IS NULL THEN '{generate.NO_ANSWER}' ELSE '[MOCK ANSWER] Berdasarkan konteks, jawaban untuk: Konteks dari dokumen:'||chr(10)||chr(10)||left(context, 50 - 22) END AS answer FROM benchmark LEFT JOIN c USING (item_id)")
+@query(_PROMPT.format(t=0.9) + f"SELECT item_id, coalesce(n, 0) AS n_hits, CASE WHEN n IS NULL THEN '{generate.NO_ANSWER}' ELSE '[MOCK ANSWER] Berdasarkan konteks, jawaban untuk: Konteks dari dokumen:'||chr(10)||chr(10)||left(context, 50 - 23) END AS answer FROM benchmark LEFT JOIN c USING (item_id)")
 def no_context_fallback(spark, sf):
     q, h = _prompted(spark, sf, 0.9)
     a = generate.answers(generate.prompts(q, h), generate.get_llm())
