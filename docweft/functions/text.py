@@ -42,9 +42,11 @@ def is_blank(x: Column | str) -> Column:
 
 def lines(x: Column | str) -> Column:
     """Lines as an array; a line break at the end begins no further line."""
-    x = _col(x)
-    parts = F.split(x, LINE_BREAK)
-    return F.when(F.length(x) == 0, F.array().cast("array<string>")).when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+    def body(parts: Column) -> Column:
+        return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+    return let(F.split(_col(x), LINE_BREAK), body)
 
 
 def words(x: Column | str) -> Column:

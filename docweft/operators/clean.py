@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweft.config import Cleaning
 from docweft.functions import text as T
+from docweft.functions.lineage import cut
 
 
 def prune(e: DataFrame) -> DataFrame:
@@ -29,10 +31,17 @@ def unicode_everywhere(e: DataFrame) -> DataFrame:
     return prune(e.withColumn("items", F.transform("items", T.drop_controls)).withColumn("rows", F.transform("rows", lambda r: F.transform(r, T.drop_controls))))
 
 
+def _without_page_lines(content: Column) -> Column:
+    def body(c: Column) -> Column:
+        kept = lambda ls: F.filter(ls, lambda x: ~T.is_page_number_line(x))
+        return T.let(T.lines(c), lambda ls: T.let(kept(ls), lambda k: F.when(F.size(k) < F.size(ls), T.strip(F.array_join(k, "\n"))).otherwise(c)))
+
+    return T.let(content, body)
+
+
 def page_numbers(e: DataFrame) -> DataFrame:
     """Lines that are page numbers, in paragraphs; "page 3 of 12" within any text."""
-    kept = F.filter(T.lines("content"), lambda x: ~T.is_page_number_line(x))
-    content = F.when((F.col("type") == "paragraph") & (F.size(kept) < F.size(T.lines("content"))), T.strip(F.array_join(kept, "\n"))).otherwise(F.col("content"))
+    content = F.when(F.col("type") == "paragraph", _without_page_lines(F.col("content"))).otherwise(F.col("content"))
     return everywhere(e.withColumn("content", content), lambda x: T.strip(T.strip_page_markers(x)))
 
 
@@ -54,11 +63,11 @@ def boilerplate_lines(e: DataFrame, header: bool = True, share: float = 0.5) ->
 def repeated_lines(e: DataFrame, header: bool = True, share: float = 0.5) -> DataFrame:
     """Headers (or footers) that repeat from page to page, cut from every element of their document."""
     found = boilerplate_lines(e, header, share)
-    cut = lambda x: T.strip(F.array_join(F.filter(T.lines(x), lambda y: ~F.array_contains("lines", T.strip(y))), "\n"))
+    kept = lambda x: T.strip(F.array_join(F.filter(T.lines(x), lambda y: ~F.array_contains("lines", T.strip(y))), "\n"))
     j = e.join(found, "doc_id", "left")
-    out = j.withColumn("content", F.when(F.col("lines").isNotNull() & (F.col("content") != ""), cut(F.col("content"))).otherwise(F.col("content")))
-    out = out.withColumn("items", F.when(F.col("lines").isNotNull(), F.transform("items", cut)).otherwise(F.col("items")))
-    out = out.withColumn("rows", F.when(F.col("lines").isNotNull(), F.transform("rows", lambda r: F.transform(r, cut))).otherwise(F.col("rows")))
+    out = j.withColumn("content", F.when(F.col("lines").isNotNull() & (F.col("content") != ""), kept(F.col("content"))).otherwise(F.col("content")))
+    out = out.withColumn("items", F.when(F.col("lines").isNotNull(), F.transform("items", kept)).otherwise(F.col("items")))
+    out = out.withColumn("rows", F.when(F.col("lines").isNotNull(), F.transform("rows", lambda r: F.transform(r, kept))).otherwise(F.col("rows")))
     return prune(out.select(e.columns))
 
 
@@ -72,20 +81,24 @@ def repeated_headings(e: DataFrame, times: int = 3) -> DataFrame:
 
 
 def clean(e: DataFrame, cfg: Cleaning = Cleaning()) -> DataFrame:
-    """All rules that are switched on."""
+    """All rules that are switched on.
+
+    Documents without page breaks have no headers or footers, and those of texts, Markdown, HTML and tables never
+    have one; only where there are page breaks do the two rules run, over a table written once before each.
+    """
     if cfg.fix_invalid_unicode:
         e = unicode_everywhere(e)
     if cfg.fix_broken_ocr:
         e = everywhere(e, T.fix_broken_ocr)
     if cfg.remove_page_numbers:
         e = page_numbers(e)
-    if cfg.remove_repeated_headers:
-        e = repeated_lines(e, True)
-    if cfg.remove_repeated_footers:
-        e = repeated_lines(e, False)
+    if cfg.remove_repeated_headers or cfg.remove_repeated_footers:
+        e = cut(e)
+        if e.where("type = 'page_break'").limit(1).count():
+            if cfg.remove_repeated_headers:
+                e = cut(repeated_lines(e, True))
+            if cfg.remove_repeated_footers:
+                e = repeated_lines(e, False)
     e = repeated_headings(e)
-    if cfg.collapse_whitespace:
-        e = everywhere(e, T.collapse_whitespace)
-    if cfg.collapse_blank_lines:
-        e = everywhere(e, lambda x: T.collapse_blank_lines(x))
-    return e
+    final = [f for on, f in ((cfg.collapse_whitespace, T.collapse_whitespace), (cfg.collapse_blank_lines, lambda x: T.collapse_blank_lines(x))) if on]
+    return everywhere(e, lambda x: reduce(lambda y, f: f(y), final, x)) if final else e

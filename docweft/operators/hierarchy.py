@@ -21,21 +21,33 @@ def pattern_level(x: Column | str) -> Column:
     return out.cast("int")
 
 
+def _pieces(content: Column) -> Column:
+    """Lines folded into ``text, level``: a regulation heading alone, what stands between headings as one."""
+
+    def step(done: Column, x: Column) -> Column:
+        level = pattern_level(x)
+
+        def add(n: Column) -> Column:
+            joins = n.isNull() & (F.size(done) > 0) & F.try_element_at(done, F.lit(-1))["level"].isNull()
+            longer = F.struct(F.concat_ws("\n", F.try_element_at(done, F.lit(-1))["text"], x).alias("text"), n.alias("level"))
+            fresh = F.concat(done, F.array(F.struct(x.alias("text"), n.alias("level"))))
+            return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(fresh)
+
+        return T.let(level, add)
+
+    empty = F.array().cast("array<struct<text:string,level:int>>")
+    parts = F.aggregate(F.split(content, "\n"), empty, step)
+    return F.filter(F.transform(parts, lambda p: F.struct(T.strip(p["text"]).alias("text"), p["level"].alias("level"))), lambda p: p["text"] != "")
+
+
 def promote_headings(e: DataFrame) -> DataFrame:
     """Paragraphs split at lines that are regulation headings; ``ord`` is numbered anew."""
-    maybe = (F.col("type") == "paragraph") & F.exists(T.lines("content"), lambda x: pattern_level(x).isNotNull())
-    maybe = F.coalesce(maybe, F.lit(False))
-    whole = e.where(~maybe).withColumn("_dw_part", F.lit(0))
-    line = e.where(maybe).select("*", F.posexplode(F.split("content", "\n")).alias("_dw_at", "_dw_line")).withColumn("_dw_level", pattern_level("_dw_line"))
-    by = Window.partitionBy("doc_id", "ord").orderBy("_dw_at")
-    fresh = F.col("_dw_level").isNotNull() | F.lag("_dw_level").over(by).isNotNull() | (F.col("_dw_at") == 0)
-    line = line.withColumn("_dw_part", F.sum(fresh.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    text = T.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_dw_at", "_dw_line"))), lambda x: x["_dw_line"]), "\n"))
-    rest = [c for c in e.columns if c not in ("doc_id", "ord", "content", "level", "type")]
-    part = line.groupBy("doc_id", "ord", "_dw_part").agg(text.alias("content"), F.first("_dw_level").alias("level"), *[F.first(c).alias(c) for c in rest])
-    part = part.where("content <> ''").withColumn("type", F.when(F.col("level").isNotNull(), "heading").otherwise("paragraph"))
-    both = whole.unionByName(part.select(whole.columns))
-    return both.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "_dw_part")) - 1).select(e.columns)
+    maybe = F.coalesce((F.col("type") == "paragraph") & F.exists(T.lines("content"), lambda x: pattern_level(x).isNotNull()), F.lit(False))
+    whole = F.array(F.struct(F.col("content").alias("text"), F.col("level").cast("int").alias("level")))
+    part = e.withColumn("_dw_split", maybe).select("*", F.posexplode(F.when(maybe, _pieces(F.col("content"))).otherwise(whole)).alias("_dw_part", "_dw_x"))
+    kind = F.when(~F.col("_dw_split"), F.col("type")).when(F.col("_dw_x.level").isNotNull(), "heading").otherwise("paragraph")
+    part = part.withColumn("type", kind).withColumn("content", F.col("_dw_x.text")).withColumn("level", F.col("_dw_x.level"))
+    return part.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "_dw_part")) - 1).select(e.columns)
 
 
 def parents(e: DataFrame) -> DataFrame:
@@ -68,17 +80,18 @@ def blocks(e: DataFrame) -> DataFrame:
     """
     heading = (F.col("type") == "heading") & F.col("level").isNotNull()
     p = context(parents(e)).withColumn("_dw_h", heading)
-    subs = p.where("_dw_h and parent is not null").groupBy("doc_id", F.col("parent").alias("block")).agg(F.lit(True).alias("has_subs"))
+    # A heading has headings below it if and only if the next heading is of a greater level.
+    later = Window.partitionBy("doc_id").orderBy(F.col("ord").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    p = p.withColumn("_dw_subs", F.col("_dw_h") & (F.last(F.when(F.col("_dw_h"), F.col("level")), ignorenulls=True).over(later) > F.col("level")))
     key = F.when(F.col("_dw_h"), F.col("ord")).otherwise(F.coalesce("parent", "ord")).alias("block")
     x = F.struct("ord", "type", "content", "page_start", "items", "rows")
     head = lambda c: F.max(F.when(F.col("_dw_h"), F.col(c)))
     g = p.select("*", key).groupBy("doc_id", "block").agg(
-        F.max("_dw_h").alias("headed"), head("content").alias("title"), head("level").alias("level"), F.first("chapter").alias("chapter"), F.first("section").alias("section"),
+        F.max("_dw_h").alias("headed"), F.max(F.coalesce("_dw_subs", F.lit(False))).alias("has_subs"), head("content").alias("title"), head("level").alias("level"), F.first("chapter").alias("chapter"), F.first("section").alias("section"),
         F.min_by("page_start", "ord").alias("page_start"), F.min_by("page_end", "ord").alias("page_end"), F.min_by("type", "ord").alias("type"),
         F.array_sort(F.collect_list(F.when(~F.col("_dw_h"), x))).alias("elements"),
     )
-    g = g.join(subs, ["doc_id", "block"], "left")
-    g = g.where((F.col("headed") & ((F.size("elements") > 0) | F.col("has_subs").isNull())) | (~F.col("headed") & (F.col("type").isin(*ATOMIC) | ~T.is_blank(F.element_at("elements", 1)["content"]))))
+    g = g.where((F.col("headed") & ((F.size("elements") > 0) | ~F.col("has_subs"))) | (~F.col("headed") & (F.col("type").isin(*ATOMIC) | ~T.is_blank(F.element_at("elements", 1)["content"]))))
     kind = F.when(F.col("headed"), "heading").when(F.col("type").isin(*ATOMIC), F.col("type")).otherwise("paragraph")
     return g.select("doc_id", "block", kind.alias("block_type"), T.strip("title").alias("title"), "level", "chapter", "section", "page_start", "page_end", "elements")
 

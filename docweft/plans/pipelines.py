@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from docweft.config import Config
 from docweft.functions import text as T
 from docweft.functions import tokens
+from docweft.functions.lineage import cut
 from docweft.operators import chunk, clean, embed, export, generate, hierarchy, validate, vectors
 from docweft.sources import elements, files
 
 
 @dataclass
 class Processed:
-    """What a run over documents gives; all lazy."""
+    """What a run over documents gives. Elements are written once; the rest is lazy."""
 
     elements: DataFrame
     blocks: DataFrame
@@ -34,7 +35,7 @@ class Processed:
 
 def from_elements(e: DataFrame, names: DataFrame | None = None, cfg: Config = Config()) -> Processed:
     """Cleaning, hierarchy, blocks, chunks, metadata and validation of an element table."""
-    tree = hierarchy.promote_headings(clean.clean(e, cfg.cleaning))
+    tree = cut(hierarchy.promote_headings(clean.clean(e, cfg.cleaning)))  # read for blocks and for language samples
     blocks = hierarchy.blocks(tree)
     chunks = chunk.chunks(blocks, names, cfg.chunking)
     chunks = validate.enrich(chunks, validate.language_samples(tree), cfg.metadata, tokens.counter(cfg.chunking.encoding))
