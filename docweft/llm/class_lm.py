@@ -4,9 +4,11 @@ p(w | v) = p(class(w) | class(v)) * p(w | class(w)). Words of at least ``rate``
 1/rate of them) are units of their own. All others are units by their ending, and share their unit's probability
 evenly, so every word of the corpus is counted and has a class.
 
-Word and unit-bigram counts come from all texts. A round of exchange is one pass over the bigram counts: each unit's
-counts with the classes on either side give the exact gain in likelihood of every move, and the units
-whose turn it is move to their best class. Units take turns, for two that move at once can undo each other's gain.
+Word and unit-bigram counts come from all texts. A round of exchange is one pass over the bigram counts: it sums each
+unit's counts with the classes on either side, of which there are at most 1/rate + ENDINGS rows of 2 * classes + 2 numbers
+however large the corpus. With them the driver moves one unit after the other to the class of the greatest gain in
+likelihood, and keeps the class bigrams up to date. Half the units have their turn in a round, for a unit's row
+doesn't see the moves of the others; the assignment of the greatest likelihood, which every round computes anew, is kept.
 """
 
 from __future__ import annotations
@@ -95,7 +97,7 @@ def moves(counts: np.ndarray, right: np.ndarray, left: np.ndarray, own: int, loo
     n[own] -= r
     n[:, own] -= s
     n[own, own] -= loop
-    rows, cols = n.sum(1), n.sum(0)
+    rows, cols = n.sum(1) + s, n.sum(0) + r  # the unit's neighbours count it wherever it is
     q, old = n[:k], _xlogx(n)
     inside = _xlogx(q + r) - old[:k]  # as row b, by column
     gain = inside.sum(1) - np.diag(inside)
@@ -107,6 +109,39 @@ def moves(counts: np.ndarray, right: np.ndarray, left: np.ndarray, own: int, loo
     return gain - gain[own]
 
 
+def likelihood(counts: np.ndarray) -> float:
+    """Log-likelihood of class bigrams, up to what the classes don't change."""
+    return float(_xlogx(counts).sum() - _xlogx(counts.sum(0)).sum() - _xlogx(counts.sum(1)).sum())
+
+
+def exchange(counts: np.ndarray, cls: np.ndarray, unit: np.ndarray, column: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Classes after one turn of the units in ``unit`` (ascending), whose counts by ``column`` are ``n``.
+
+    Columns: k classes after the unit, k + 1 before it, the unit itself.
+    """
+    k = counts.shape[1]
+    counts, cls = counts.copy(), cls.copy()
+    first = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1]))) if len(unit) else np.zeros(0, int)
+    for lo, hi in zip(first, np.append(first[1:], len(unit))):
+        row = np.zeros(2 * k + 2)
+        row[column[lo:hi]] = n[lo:hi]
+        right, left, loop = row[:k].copy(), row[k : 2 * k + 1].copy(), row[-1]
+        a = int(cls[unit[lo]])
+        gain = moves(counts, right, left, a, loop)
+        b = int(gain.argmax())
+        if gain[b] <= 1e-6:
+            continue
+        cls[unit[lo]] = b
+        right[a] -= loop
+        left[a] -= loop
+        for c, sign in ((a, -1), (b, 1)):
+            counts[c] += sign * right
+            counts[:, c] += sign * left
+            counts[c, c] += sign * loop
+        np.maximum(counts, 0, out=counts)
+    return cls
+
+
 class Model:
     def __init__(self, units: Units, cls: np.ndarray, counts: np.ndarray, n: np.ndarray, kinds: np.ndarray):
         """``n`` tokens of every unit, ``kinds`` distinct words of every ending."""
@@ -125,7 +160,7 @@ class Model:
     def score(self, h: np.ndarray, ending: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
         unit = self.units.of(h, ending)
         p = self.step[self.cls[_with_previous(unit, row, self.units.start)], self.cls[unit]] + self.emit[unit]
-        return np.bincount(row, p, minlength=rows)
+        return np.bincount(row, p, minlength=rows).astype(float)  # without words numpy gives integers
 
 
 def train(docs: DataFrame, classes: int = 48, rounds: int = 4, rate: float = 1e-5) -> Model:
@@ -181,7 +216,7 @@ def train(docs: DataFrame, classes: int = 48, rounds: int = 4, rate: float = 1e-
     k = classes
     cls = np.full(size, k, np.int64)  # the start of a text keeps the last class to itself
     cls[np.argsort(-n[:-1], kind="stable")] = np.arange(size - 1) % k
-    counts = np.zeros((k + 1, k))
+    counts, best = np.zeros((k + 1, k)), (-np.inf, cls, np.zeros((k + 1, k)))
     for turn in range(rounds + 1):
         g = spark.sparkContext.broadcast(cls)
 
@@ -196,9 +231,9 @@ def train(docs: DataFrame, classes: int = 48, rounds: int = 4, rate: float = 1e-
         counts = np.zeros((k + 1) * k)
         counts[got["u"].to_numpy()] = got["n"].to_numpy()
         counts = counts.reshape(k + 1, k)
+        best = max(best, (likelihood(counts), cls, counts), key=lambda x: x[0])
         if turn == rounds:
             break
-        stats = spark.sparkContext.broadcast(counts)
         wide = 2 * k + 2
 
         def around(batches, g=g, turn=turn):
@@ -218,22 +253,9 @@ def train(docs: DataFrame, classes: int = 48, rounds: int = 4, rate: float = 1e-
                 key, m = _summed(parts)
                 yield pa.RecordBatch.from_arrays([pa.array(key // wide), pa.array(key % wide), pa.array(m)], ["u", "k", "n"])
 
-        def best(batches, g=g, stats=stats):
-            for b in batches:
-                at, ks, ns = np.asarray(b.column("x").offsets), *(np.asarray(b.column("x").values.field(i)) for i in range(2))
-                out = []
-                for i, u in enumerate(b.column("u").to_pylist()):
-                    row = np.zeros(wide)
-                    np.add.at(row, ks[at[i] : at[i + 1]], ns[at[i] : at[i + 1]])
-                    gain = moves(stats.value, row[:k], row[k : 2 * k + 1], int(g.value[u]), row[-1])
-                    to = int(gain.argmax())
-                    out.append(to if gain[to] > 1e-6 else int(g.value[u]))
-                yield pa.RecordBatch.from_arrays([b.column("u"), pa.array(out, pa.int64())], ["u", "c"])
-
-        summed = pairs.mapInArrow(around, "u bigint, k bigint, n bigint").groupBy("u", "k").agg(F.sum("n").alias("n"))
-        got = summed.groupBy("u").agg(F.collect_list(F.struct("k", "n")).alias("x")).mapInArrow(best, "u bigint, c bigint").toArrow()
-        cls = cls.copy()
-        cls[got["u"].to_numpy()] = got["c"].to_numpy()
+        got = pairs.mapInArrow(around, "u bigint, k bigint, n bigint").groupBy("u", "k").agg(F.sum("n").alias("n")).toArrow().sort_by([("u", "ascending")])
+        cls = exchange(counts, cls, *(got[c].to_numpy() for c in "ukn"))
+    _, cls, counts = best
     return Model(units, cls, counts, n, kinds)
 
 
