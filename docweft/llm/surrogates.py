@@ -32,7 +32,7 @@ _GIVEN = {
 _GENDER = {n.casefold(): g for g, names in _GIVEN.items() for n in names.split()}
 _TITLE = {"mr": "m", "herr": "m", "señor": "m", "sr": "m", "monsieur": "m", "г-н": "m", "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "señora": "f", "sra": "f", "madame": "f", "mme": "f", "mlle": "f", "г-жа": "f", "dr": "n", "prof": "n"}
 _TITLES = "|".join(sorted(("Mr Mrs Ms Miss Dr Prof Herr Frau Señor Señora Sr Sra Monsieur Madame Mme Mlle Г-н Г-жа").split(), key=len, reverse=True))
-_NAMES = "|".join(n for names in _GIVEN.values() for n in names.split())
+_NAMES = "|".join(x for names in _GIVEN.values() for n in names.split() for x in (n, n.upper()))
 _CAP = r"\p{Lu}[\p{L}'’-]+"
 PATTERN = regex.compile(
     rf"""(?P<email>[\w.+%-]+@[\w-]+(?:\.[\w-]+)+)
