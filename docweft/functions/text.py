@@ -69,12 +69,12 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 @F.pandas_udf(ArrayType(StringType()))
 def _nfc_items(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if v is None else [None if x is None else unicodedata.normalize("NFC", x) for x in v])
+    return pd.Series([None if v is None else [None if x is None else unicodedata.normalize("NFC", x) for x in v] for v in s], dtype=object)
 
 
 @F.pandas_udf(ArrayType(ArrayType(StringType())))
 def _nfc_rows(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else [[None if x is None else unicodedata.normalize("NFC", x) for x in v] for v in t])
+    return pd.Series([None if t is None else [[None if x is None else unicodedata.normalize("NFC", x) for x in v] for v in t] for t in s], dtype=object)
 
 
 def nfc_items(x: Column | str) -> Column:

@@ -148,7 +148,7 @@ def parse_binary(files: DataFrame) -> DataFrame:
                     got = delimited(content, name, "\t" if ext == "tsv" else None) if ext in ("csv", "tsv") else PARSERS[ext](content)
                     rows += [{"doc_id": doc, "ord": i, "error": None} | e for i, e in enumerate(got)]
                 except Exception as e:  # one bad file must not end the job; its error is a result
-                    rows.append({"doc_id": doc, "error": f"{type(e).__name__}: {e}"})
+                    rows.append(dict.fromkeys(elements.NAMES) | {"doc_id": doc, "error": f"{type(e).__name__}: {e}"})
             if rows:
                 yield pd.DataFrame(rows, columns=[*elements.NAMES, "error"]).astype({"ord": "Int32", "level": "Int32", "page_start": "Int32", "page_end": "Int32"})
 
