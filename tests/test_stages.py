@@ -185,7 +185,7 @@ def test_documents_to_answers(spark, tmp_path):
     n = pipelines.index(spark, str(tmp_path / "in"), cfg)
     assert n == len(got) == pipelines.index(spark, str(tmp_path / "in"), cfg) == vectors.Store(spark, cfg.store.path).count()
     records = vectors.Store(spark, cfg.store.path).read()
-    q = spark.createDataFrame([(0, "Kucing hewan peliharaan"), (1, "Ani Bogor")], "query_id int, question string")
+    q = spark.createDataFrame([(0, "Kucing hewan peliharaan"), (1, "orang nama Ani kota Bogor Batch baris dari")], "query_id int, question string")
     best = {r.query_id: r.filename for r in pipelines.retrieve(records, q, cfg, top_k=1).collect()}
     assert best == {0: "hewan.txt", 1: "orang.csv"}
     answers = pipelines.answer(records, q, cfg, threshold=0.99).collect()
