@@ -29,6 +29,7 @@ CATEGORIES = (*SEEDS, "toxic")
 BITS = 20
 STARTS = (4, 5, 6, 7, 8, 9)
 PAD = 20
+FOLDS = 3
 
 
 def _features(texts: pa.Array) -> tuple[Iterator[tuple[np.ndarray, np.ndarray]], np.ndarray]:
@@ -90,28 +91,24 @@ class _Sparse:
         self.row, self.col, self.val, self.rows, self.cols = row, col, val, rows, cols
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.val * w[self.col], minlength=self.rows)
+        return np.bincount(self.row, self.val * w.astype(np.float32)[self.col], minlength=self.rows)
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, self.val * g[self.row], minlength=self.cols)
+        return np.bincount(self.col, self.val * g.astype(np.float32)[self.row], minlength=self.cols)
 
-    def take(self, keep: np.ndarray) -> _Sparse:
-        new = np.cumsum(keep) - 1
-        hit = keep[self.row]
-        return _Sparse(new[self.row[hit]], self.col[hit], self.val[hit], int(keep.sum()), self.cols)
 
-
-def _fit(x: _Sparse, extra: np.ndarray, y: np.ndarray, steps: int = 250, l2: float = 2e-4) -> tuple[np.ndarray, np.ndarray, float]:
-    """Logistic regression by Adam over the whole sample; a constant where there is one class."""
-    rate = (y.sum() + 0.5) / (len(y) + 1)
+def _fit(x: _Sparse, extra: np.ndarray, y: np.ndarray, keep: np.ndarray, steps: int = 250, l2: float = 2e-4) -> tuple[np.ndarray, np.ndarray, float]:
+    """Logistic regression by Adam over the rows of ``keep``; a constant where they are of one class."""
+    size, positive = int(keep.sum()), float(y[keep].sum())
+    rate = (positive + 0.5) / (size + 1)
     n, m = x.cols, extra.shape[1]
     p = np.zeros(n + m + 1)
     p[-1] = np.log(rate / (1 - rate))
-    if not 0 < y.sum() < len(y):
-        return p[:n], p[n:-1], -30.0 if not y.sum() else 30.0
+    if not 0 < positive < size:
+        return p[:n], p[n:-1], -30.0 if not positive else 30.0
     u, v = np.zeros_like(p), np.zeros_like(p)
     for t in range(1, steps + 1):
-        g = (_sigmoid(x.times(p[:n]) + extra @ p[n:-1] + p[-1]) - y) / len(y)
+        g = keep * (_sigmoid(x.times(p[:n]) + extra @ p[n:-1] + p[-1]) - y) / size
         d = np.concatenate((x.back(g), extra.T @ g, [g.sum()]))
         d[:-1] += l2 * p[:-1]
         u = 0.9 * u + 0.1 * d
@@ -120,20 +117,41 @@ def _fit(x: _Sparse, extra: np.ndarray, y: np.ndarray, steps: int = 250, l2: flo
     return p[:n], p[n:-1], float(p[-1])
 
 
-def _select(row: np.ndarray, col: np.ndarray, y: np.ndarray, z: float = 2.5) -> np.ndarray:
-    """Features whose share of the category's documents differs clearly from that of the others."""
-    pos = np.bincount(col[y[row] > 0], minlength=1 << BITS) + 0.5
-    neg = np.bincount(col[y[row] == 0], minlength=1 << BITS) + 0.5
-    a, b = y.sum() + 1, (y == 0).sum() + 1
+def _telling(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, z: float = 2.5) -> np.ndarray:
+    """Features, by documents of either side that have them, whose shares of the two sides differ clearly."""
+    pos, neg, a, b = pos + 0.5, neg + 0.5, n_pos + 1, n_neg + 1
     score = np.log(pos / (a - pos + 0.5).clip(0.5)) - np.log(neg / (b - neg + 0.5).clip(0.5))
     score /= np.sqrt(1 / pos + 1 / neg)
-    return np.flatnonzero((np.abs(score) > z) & (pos + neg > 4))
+    return (np.abs(score) > z) & (pos + neg > 4)
+
+
+def _select(row: np.ndarray, col: np.ndarray, y: np.ndarray) -> np.ndarray:
+    pos = np.bincount(col[y[row] > 0], minlength=1 << BITS)
+    return np.flatnonzero(_telling(pos, np.bincount(col[y[row] == 0], minlength=1 << BITS), int(y.sum()), int((y == 0).sum())))
+
+
+def _needed(features: list[np.ndarray], labels: np.ndarray, folds: int) -> np.ndarray:
+    """The features that any of the chain's models, over all rows or all but one fold, will select; all others can go beforehand."""
+    out = np.zeros(1 << BITS, bool)
+    fold = np.arange(len(features)) % folds
+    whole = np.zeros((folds, 1 << BITS), np.int32)
+    for i, f in enumerate(features):
+        whole[fold[i], f] += 1
+    for y in labels:
+        pos = np.zeros_like(whole)
+        for i in np.flatnonzero(y):
+            pos[fold[i], features[i]] += 1
+        for k in range(-1, folds):
+            on = [j for j in range(folds) if j != k]
+            p, n = pos[on].sum(0), int(y[fold != k].sum())
+            out |= _telling(p, whole[on].sum(0) - p, n, int((fold != k).sum()) - n)
+    return out
 
 
-def fit_chain(row: np.ndarray, col: np.ndarray, count: np.ndarray, n_words: np.ndarray, labels: np.ndarray, folds: int = 3) -> Chain:
+def fit_chain(row: np.ndarray, col: np.ndarray, count: np.ndarray, n_words: np.ndarray, labels: np.ndarray, folds: int = FOLDS) -> Chain:
     """A chain from counts of features by document; ``labels`` has a row for each category."""
     rows = len(n_words)
-    value = 100 * count / (n_words[row] + PAD)
+    value = (100 * count / (n_words[row] + PAD)).astype(np.float32)
     fold = np.arange(rows) % folds
     links: list[Link] = []
     odds = np.zeros((0, rows))
@@ -146,7 +164,7 @@ def fit_chain(row: np.ndarray, col: np.ndarray, count: np.ndarray, n_words: np.n
             place[chosen] = np.arange(len(chosen))
             hit = place[col] >= 0
             x = _Sparse(row[hit], place[col[hit]], value[hit], rows, len(chosen))
-            return x, chosen, _fit(x.take(keep), odds[:, keep].T, y[keep])
+            return x, chosen, _fit(x, odds.T, y, keep)
 
         out = np.zeros(rows)
         for k in range(folds):
@@ -198,13 +216,16 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, negatives:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(n), pack(f), pack(count), *seeds], ["doc_id", "toxic", "n", "f", "c", *SEEDS])
 
     kept = texts.mapInArrow(run, "doc_id bigint, toxic int, n bigint, f binary, c binary, " + ", ".join(f"{k} boolean" for k in SEEDS)).toArrow().sort_by("doc_id")
-    f = [np.frombuffer(x, np.int32) for x in kept["f"].to_pylist()]
-    count = [np.frombuffer(x, np.int32) for x in kept["c"].to_pylist()]
     toxic = np.array(kept["toxic"].to_pylist(), int).clip(0, 1)
     y = np.array([*(toxic * np.array(kept[k].to_pylist(), int) for k in SEEDS), toxic]) if len(toxic) else np.zeros((len(CATEGORIES), 0))
-    row = np.repeat(np.arange(len(f)), [len(x) for x in f])
-    join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-    return fit_chain(row, join(f), join(count), np.array(kept["n"].to_pylist(), float), y)
+    f, count = ([np.frombuffer(x.as_buffer(), np.int32) for x in kept[c]] for c in "fc")
+    needed = _needed(f, y, FOLDS)
+    hit = [needed[x] for x in f]
+    row = np.repeat(np.arange(len(f), dtype=np.int32), [int(h.sum()) for h in hit])
+    join = lambda xs: np.concatenate([x[h] for x, h in zip(xs, hit)]) if xs else np.zeros(0, np.int32)
+    col, count, n = join(f), join(count), np.array(kept["n"].to_pylist(), float)
+    del f, hit, kept
+    return fit_chain(row, col, count, n, y)
 
 
 def _has(texts: pa.Array, seeds: tuple[str, ...]) -> pa.Array:
