@@ -6,7 +6,9 @@ index ranges into it, and their 64-bit hashes come from a prefix polynomial over
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -52,6 +54,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle and checkpoint files that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)  # the cleaner works beside
+
+
 def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     """``docs`` whose ``doc_id`` isn't in ``bad`` (a materialised table of ids); rows with a null id stay."""
     bad = bad.select("doc_id")

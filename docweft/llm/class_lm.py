@@ -1,18 +1,24 @@
 """Perplexity under a Brown class-based bigram model clustered by exchange.
 
-p(w | v) = p(class(w) | class(v)) * p(w | class(w)). Words of at least ``rate`` of all tokens (so never more than
-1/rate of them) are units of their own. All others are units by their ending, and share their unit's probability
-evenly, so every word of the corpus is counted and has a class.
-
-Word and unit-bigram counts come from all texts. A round of exchange is one pass over the bigram counts: it sums each
-unit's counts with the classes on either side, of which there are at most 1/rate + ENDINGS rows of 2 * classes + 2 numbers
-however large the corpus. With them the driver moves one unit after the other to the class of the greatest gain in
-likelihood, and keeps the class bigrams up to date. Half the units have their turn in a round, for a unit's row
-doesn't see the moves of the others; the assignment of the greatest likelihood, which every round computes anew, is kept.
+p(w | v) = p(class(w) | class(v)) * p(w | class(w)), with a class and a count of its own for every word of the corpus.
+
+Words of at least ``rate`` of all tokens (so never more than 1/rate of them) are exchanged on the driver. A round is one
+pass over their bigram counts: it sums each unit's counts with the classes on either side, of which there are at most
+1/rate + ENDINGS rows of 2 * classes + 2 numbers however large the corpus. With them the driver moves one unit after the other
+to the class of the greatest gain in likelihood, and keeps the class bigrams up to date. Half the units have their turn in
+a round, for a unit's row doesn't see the moves of the others; the assignment of the greatest likelihood, which every
+round computes anew, is kept. All other words stand in these rounds by their ending.
+
+Then each of the others moves to its own best class: the counts of every such word with the classes on either side meet
+in one task, which takes the greatest gain. Their classes and counts are a table that is never collected; texts
+are cut into slices that ask it for their distinct words. An ending's class remains for words that the corpus doesn't have.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +31,9 @@ from . import _common as C
 
 ENDINGS = 1024
 MERGE = 24
+SLICE = 4 << 20
+#: Words whose gains are computed together.
+TOGETHER = 4096
 
 
 def _words(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,6 +118,40 @@ def moves(counts: np.ndarray, right: np.ndarray, left: np.ndarray, own: int, loo
     return gain - gain[own]
 
 
+def moves_of(counts: np.ndarray, own: np.ndarray, word: np.ndarray, column: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``moves`` of many units that each move alone: a row for every entry of ``own``. Columns are those of ``exchange``."""
+    k, i = counts.shape[1], np.arange(len(own))
+    dense = np.zeros((len(own), 2 * k + 2))
+    dense[word, column] = n
+    r, s, loop = dense[:, :k], dense[:, k : 2 * k + 1], dense[:, -1]
+    r[i, own] -= loop
+    s[i, own] -= loop
+    gain = np.zeros((len(own), k))
+    for mine, other, table in ((r, s, counts[:k].T), (s, r, counts)):
+        w, c = np.nonzero(mine)
+        if not len(w):
+            continue
+        e, x = np.arange(len(w)), mine[w, c]
+        have = table[c].astype(float)  # of the class beside it with every class, without the unit
+        have[e, own[w]] -= x
+        at = np.flatnonzero(c == own[w])
+        have[at] -= other[w[at], :k]
+        have[at, own[w[at]]] -= loop[w[at]]
+        more = _xlogx(have + x[:, None]) - _xlogx(have)
+        inside = np.flatnonzero(c < k)
+        more[inside, c[inside]] = 0
+        first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+        gain[w[first]] += np.add.reduceat(more, first)
+    d, rows, cols = (np.tile(x, (len(own), 1)).astype(float) for x in (np.diag(counts[:k]), counts.sum(1)[:k], counts.sum(0)))
+    right, left = r.sum(1) + loop, s.sum(1) + loop
+    d[i, own] -= r[i, own] + s[i, own] + loop
+    rows[i, own] -= right
+    cols[i, own] -= left
+    gain += _xlogx(d + r + s[:, :k] + loop[:, None]) - _xlogx(d)
+    gain -= _xlogx(rows + right[:, None]) - _xlogx(rows) + _xlogx(cols + left[:, None]) - _xlogx(cols)
+    return gain - gain[i, own][:, None]
+
+
 def likelihood(counts: np.ndarray) -> float:
     """Log-likelihood of class bigrams, up to what the classes don't change."""
     return float(_xlogx(counts).sum() - _xlogx(counts.sum(0)).sum() - _xlogx(counts.sum(1)).sum())
@@ -143,19 +186,32 @@ def exchange(counts: np.ndarray, cls: np.ndarray, unit: np.ndarray, column: np.n
 
 
 class Model:
-    def __init__(self, units: Units, cls: np.ndarray, counts: np.ndarray, n: np.ndarray, kinds: np.ndarray):
-        """``n`` tokens of every unit, ``kinds`` distinct words of every ending."""
-        self.units, self.cls = units, cls
+    def __init__(self, units: Units, cls: np.ndarray, counts: np.ndarray, n: np.ndarray, tail: DataFrame | None = None):
+        """``n`` tokens of every unit; ``tail`` has ``h, cls, n`` of the words that are no units."""
+        self.units, self.cls, self.tail = units, cls, tail
+        k, own = counts.shape[1], len(units.hashes)
+        self.follow(counts)
+        # An ending stands for what the corpus doesn't have.
+        size = np.bincount(cls[:-1], minlength=k)
+        n = np.concatenate((n[:own], np.zeros(ENDINGS)))
+        total = np.bincount(cls[:-1], n, minlength=k)
+        for r in tail.groupBy("cls").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).collect() if tail is not None else ():
+            size[r["cls"]] += r["kinds"]
+            total[r["cls"]] += r["n"]
+        self.norm = np.log(np.maximum(total + 0.5 * size, 0.5))
+        self.emit = np.log(n + 0.5) - self.norm[cls[:-1]]
+
+    def follow(self, counts: np.ndarray) -> None:
+        """Take the steps between classes from their bigrams."""
         k = counts.shape[1]
         rows = counts.sum(1, keepdims=True)
         base = (counts.sum(0) + 1) / (counts.sum() + k)
         seen = (counts > 0).sum(1, keepdims=True)
         # Witten-Bell: the unseen share of a history goes to the classes' own frequencies.
         self.step = np.log((counts + (seen + 1) * base) / (rows + seen + 1))
-        size = np.bincount(cls[:-1], minlength=k)
-        total = np.bincount(cls[:-1], n[:-1], minlength=k)
-        self.emit = np.log((n[:-1] + 0.5) / (total + 0.5 * size)[cls[:-1]])
-        self.emit[len(units.hashes) :] -= np.log(kinds + 1)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tail": None}  # a table stays with the driver
 
     def score(self, h: np.ndarray, ending: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
         unit = self.units.of(h, ending)
@@ -163,31 +219,218 @@ class Model:
         return np.bincount(row, p, minlength=rows).astype(float)  # without words numpy gives integers
 
 
+class _Slice:
+    """Some texts as the units of their words; words that are no units are numbered by the slice's own list."""
+
+    def __init__(self, blob: bytes, units: Units):
+        self.ids, self.sizes, unit, self.ending = pickle.loads(zlib.decompress(blob))
+        self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.unit, self.others = unit.astype(np.int64), len(units.hashes)
+        self.at = np.flatnonzero(self.unit >= self.others)
+        self.word = self.unit[self.at] - self.others
+
+    def classes(self, cls: np.ndarray, found: pa.Table | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class of every token, class before it, and the counts of the slice's own words, 0 where none is ``found``."""
+        own, n = cls[self.others + self.ending], np.zeros(len(self.ending))
+        if found is not None and found.num_rows:
+            i = found["i"].to_numpy()
+            own[i], n[i] = found["cls"].to_numpy(), found["n"].to_numpy()
+        c = np.concatenate((cls[: self.others], own))[self.unit]
+        return c, _with_previous(c, self.row, cls[-1]), n
+
+
+def _sliced(docs: DataFrame, units: Units) -> DataFrame:
+    """``key, rare, blob``: slices of ``docs`` (``doc_id, text``) with the distinct words that are no units."""
+    shared = docs.sparkSession.sparkContext.broadcast(units)
+
+    def run(batches):
+        u = shared.value
+        for b in C.slices(batches, size=SLICE):
+            h, ending, row = _words(b)
+            unit = u.of(h, ending)
+            at = np.flatnonzero(unit >= len(u.hashes))
+            key, first, inverse = np.unique(h[at], return_index=True, return_inverse=True)
+            unit[at] = len(u.hashes) + inverse
+            blob = zlib.compress(pickle.dumps((b.column("doc_id"), np.bincount(row, minlength=b.num_rows), unit.astype(np.int32), ending[at][first])), 1)
+            rare = pa.ListArray.from_arrays(pa.array([0, len(key)], pa.int32()), pa.array(key.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), rare, pa.array([blob], pa.binary())], ["key", "rare", "blob"])
+
+    docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    return C.written(docs.mapInArrow(run, "key string, rare array<bigint>, blob binary"))
+
+
+def _answered(slices: DataFrame, tail: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` over the blob of every slice and what ``tail`` has of its words: ``i, cls, n``."""
+    found = slices.select(F.col("key").alias("of"), F.posexplode("rare").alias("i", "h")).join(tail, "h").select("of", "i", "cls", "n")
+
+    def each(mine, answers):
+        return run(mine["blob"][0].as_py(), answers)
+
+    return slices.select("key", "blob").groupBy("key").cogroup(found.groupBy("of")).applyInArrow(each, schema)
+
+
+def _settled(slices: DataFrame, units: Units, cls: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """``h, own, cls, n`` of every word that is no unit: the class of its ending, its own best class, its count."""
+    k = counts.shape[1]
+    wide = 2 * k + 2
+    shared = slices.sparkSession.sparkContext.broadcast((units, cls, counts))
+
+    def around(batches):
+        u, g, _ = shared.value
+        for b in batches:
+            for rare, blob in zip(b.column("rare"), b.column("blob")):
+                s = _Slice(blob.as_py(), u)
+                c, before, _ = s.classes(g)
+                fresh = np.ones(len(s.row) + 1, bool)
+                fresh[1:-1] = s.row[1:] != s.row[:-1]
+                inner = ~fresh[s.at + 1]  # with a word after it
+                nxt = s.at[inner] + 1
+                same = s.unit[nxt] == s.unit[s.at[inner]]
+                w = s.word[inner]
+                key, n = np.unique(np.concatenate((s.word * wide + k + before[s.at], w * wide + c[nxt], w[same] * wide + 2 * k + 1)), return_counts=True)
+                h, word = rare.values.to_numpy(), key // wide
+                yield pa.RecordBatch.from_arrays([pa.array(h[word]), pa.array(g[s.others + s.ending[word]] * wide + key % wide), pa.array(n)], ["h", "code", "n"])
+
+    def settle(batches):
+        table, left = shared.value[2], None
+        for b in batches:
+            x = [b.column(i).to_numpy() for i in range(3)]
+            x = x if left is None else [np.concatenate(p) for p in zip(left, x)]
+            end = int(np.searchsorted(x[0], x[0][-1])) if len(x[0]) else 0  # the last word may go on
+            left = [p[end:] for p in x]
+            yield from best(table, *(p[:end] for p in x))
+        if left is not None:
+            yield from best(table, *left)
+
+    def best(table, h, code, n):
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, int)
+        for lo in range(0, len(first), TOGETHER):
+            some = first[lo : lo + TOGETHER]
+            end = first[lo + TOGETHER] if lo + TOGETHER < len(first) else len(h)
+            word = np.repeat(np.arange(len(some)), np.diff(np.append(some, end)))
+            column, m, own = code[some[0] : end] % wide, n[some[0] : end], code[some] // wide
+            gain = moves_of(table, own, word, column, m)
+            to = gain.argmax(1)
+            to = np.where(gain[np.arange(len(some)), to] > 1e-6, to, own)
+            total = np.bincount(word, m * ((column >= k) & (column <= 2 * k)), minlength=len(some)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(own.astype(np.int32)), pa.array(to.astype(np.int32)), pa.array(total)], ["h", "own", "cls", "n"])
+
+    rows = slices.mapInArrow(around, "h bigint, code bigint, n bigint").repartition("h").groupBy("h", "code").agg(F.sum("n").alias("n"))
+    return C.cut(rows.sortWithinPartitions("h").mapInArrow(settle, "h bigint, own int, cls int, n bigint"))
+
+
+SCORES = "doc_id bigint, n_words bigint, log_prob double, perplexity double"
+
+
+def _score_rows(ids: pa.Array, n: np.ndarray, p: np.ndarray) -> tuple[list[pa.Array], list[str]]:
+    ppl = pa.array(np.exp(np.minimum(-p / np.maximum(n, 1), 700)), mask=n == 0)
+    return [ids, pa.array(n, pa.int64()), pa.array(p, pa.float64()), ppl], ["doc_id", "n_words", "log_prob", "perplexity"]
+
+
+def _located(slices: DataFrame, model: Model) -> DataFrame:
+    """``blob``: ids of the texts of a slice, their numbers of words, the class of every word, and the texts' sums of log p(w | class)."""
+    shared = slices.sparkSession.sparkContext.broadcast(model)
+
+    def locate(blob, found):
+        m = shared.value
+        s = _Slice(blob, m.units)
+        c, _, n = s.classes(m.cls, found)
+        emit = m.emit[s.others + s.ending]
+        own = np.zeros(len(n), np.int64)
+        own[s.word] = c[s.at]
+        seen = np.flatnonzero(n)
+        emit[seen] = np.log(n[seen] + 0.5) - m.norm[own[seen]]
+        p = np.bincount(s.row, np.concatenate((m.emit[: s.others], emit))[s.unit], minlength=len(s.sizes)).astype(float)
+        return pa.table([pa.array([zlib.compress(pickle.dumps((s.ids, s.sizes, c.astype(np.uint16), p)), 1)], pa.binary())], ["blob"])
+
+    return _answered(slices, model.tail, locate, "blob binary")
+
+
+def _steps(blob: bytes, start: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    ids, sizes, c, p = pickle.loads(zlib.decompress(blob))
+    c, row = c.astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+    return ids, sizes, row, c, _with_previous(c, row, start), p
+
+
+def _walked(located: DataFrame, model: Model) -> DataFrame:
+    """Scores from the classes that ``_located`` found."""
+    step = located.sparkSession.sparkContext.broadcast(model.step)
+
+    def run(batches):
+        for b in batches:
+            for blob in b.column("blob"):
+                ids, sizes, row, c, before, p = _steps(blob.as_py(), len(step.value) - 1)
+                p = p + np.bincount(row, step.value[before, c], minlength=len(sizes))
+                yield pa.RecordBatch.from_arrays(*_score_rows(ids, sizes, p))
+
+    return located.mapInArrow(run, SCORES)
+
+
+def _fitted(docs: DataFrame, classes: int, rounds: int, rate: float) -> tuple[Model, DataFrame | None]:
+    """The model, and the classes of the words of ``docs`` (``doc_id, text``) if some of them are no units."""
+    spark, k = docs.sparkSession, classes
+    units, cls, counts, n, whole = _exchanged(docs.select("text").where("text is not null"), classes, rounds, rate)
+    C.swept(spark)
+    if whole:
+        return Model(units, cls, counts, n), None
+    slices = _sliced(docs, units)
+    settled = _settled(slices, units, cls, counts)
+    C.swept(spark)
+
+    def class_pairs(batches):
+        total = np.zeros((k + 1) * k, np.int64)
+        for b in batches:
+            for blob in b.column("blob"):
+                _, _, _, c, before, _ = _steps(blob.as_py(), k)
+                total += np.bincount(before * k + c, minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["u", "n"])
+
+    for column in ("cls", "own"):
+        model = Model(units, cls, counts, n, settled.select("h", F.col(column).alias("cls"), "n"))
+        located = C.written(_located(slices, model))
+        C.swept(spark)
+        got = located.mapInArrow(class_pairs, "u bigint, n bigint").groupBy("u").agg(F.sum("n").alias("n")).toArrow()
+        moved = np.zeros((k + 1) * k)
+        moved[got["u"].to_numpy()] = got["n"].to_numpy()
+        moved = moved.reshape(k + 1, k)
+        if likelihood(moved) > likelihood(counts):  # else they lost by moving all at once, each as if alone
+            break
+    model.follow(moved)
+    return model, located
+
+
 def train(docs: DataFrame, classes: int = 48, rounds: int = 4, rate: float = 1e-5) -> Model:
-    """The model of all texts of ``docs``. Null and wordless texts add nothing; repeated rows count as often as they stand."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("text").cast("string")).where("text is not null")
+    """The model of all texts of ``docs``. Words under ``rate`` are settled after the rounds. Null and wordless texts add nothing; repeated rows count as often as they stand."""
+    return _fitted(docs.select(F.lit(None).cast("bigint").alias("doc_id"), F.col("text").cast("string")), classes, rounds, rate)[0]
+
+
+def perplexities(docs: DataFrame, classes: int = 48, rounds: int = 4, rate: float = 1e-5) -> DataFrame:
+    """``scored`` of ``docs`` by the model of their own texts, whose words are looked up only once."""
+    docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    model, located = _fitted(docs, classes, rounds, rate)
+    return scored(docs, model) if located is None else _walked(located, model)
+
+
+def _exchanged(texts: DataFrame, classes: int, rounds: int, rate: float) -> tuple[Units, np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Units, their classes, class bigrams, the units' tokens, and whether all words are units."""
+    spark = texts.sparkSession
 
     def count_words(batches):
         parts = []
         for b in C.slices(batches):
-            h, ending, _ = _words(b)
-            key, first, n = np.unique(h, return_index=True, return_counts=True)
-            parts.append((key, ending[first], n))
+            parts.append(np.unique(_words(b)[0], return_counts=True))
             if len(parts) >= MERGE:
                 yield _word_rows(parts)
                 parts = []
         if parts:
             yield _word_rows(parts)
 
-    words = C.cut(texts.mapInArrow(count_words, "h bigint, ending int, n bigint").groupBy("h").agg(F.first("ending").alias("ending"), F.sum("n").alias("n")))
+    words = C.cut(texts.mapInArrow(count_words, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
     tokens = words.agg(F.sum("n")).first()[0] or 0
     often = F.col("n") >= F.lit(rate * tokens)
-    frequent = words.where(often).select("h", "n").toArrow()
+    frequent = words.where(often).select("h").toArrow()
     units = Units(np.asarray(frequent["h"].combine_chunks() if frequent.num_rows else pa.array([], pa.int64())).view(np.uint64))
-    kinds = np.zeros(ENDINGS, np.int64)
-    for r in words.where(~often).groupBy("ending").count().collect():
-        kinds[r["ending"]] = r["count"]
+    whole = words.where(~often).limit(1).count() == 0
     shared = spark.sparkContext.broadcast(units)
 
     def count_pairs(batches):
@@ -256,14 +499,12 @@ def train(docs: DataFrame, classes: int = 48, rounds: int = 4, rate: float = 1e-
         got = pairs.mapInArrow(around, "u bigint, k bigint, n bigint").groupBy("u", "k").agg(F.sum("n").alias("n")).toArrow().sort_by([("u", "ascending")])
         cls = exchange(counts, cls, *(got[c].to_numpy() for c in "ukn"))
     _, cls, counts = best
-    return Model(units, cls, counts, n, kinds)
+    return units, cls, counts, n, whole
 
 
-def _word_rows(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    h = np.concatenate([x[0] for x in parts])
-    key, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    n = np.bincount(inverse, np.concatenate([x[2] for x in parts])).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.concatenate([x[1] for x in parts])[first]), pa.array(n)], ["h", "ending", "n"])
+def _word_rows(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    key, n = _summed(parts)
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["h", "n"])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -274,14 +515,15 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     ``doc_id`` and ``text`` are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    if model.tail is not None:
+        return _walked(_located(_sliced(docs, model.units), model), model)
 
     def run(batches):
         for b in C.slices(batches):
             h, ending, row = _words(b)
             p = shared.value.score(h, ending, row, b.num_rows)
             n = np.bincount(row, minlength=b.num_rows)
-            ppl = pa.array(np.exp(np.minimum(-p / np.maximum(n, 1), 700)), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(p), ppl], ["doc_id", "n_words", "log_prob", "perplexity"])
+            yield pa.RecordBatch.from_arrays(*_score_rows(b.column("doc_id"), n, p))
 
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return docs.mapInArrow(run, "doc_id bigint, n_words bigint, log_prob double, perplexity double")
+    return docs.mapInArrow(run, SCORES)

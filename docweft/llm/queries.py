@@ -40,8 +40,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return class_lm.scored(docs, class_lm.train(docs))
+    return class_lm.perplexities(_table(spark, sf_dir, "documents"))
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docweft.llm import class_lm, toxicity
@@ -121,3 +122,77 @@ def test_class_model_rows_and_nulls(spark):
     assert all(by[k].n_words == 0 and by[k].perplexity is None and by[k].log_prob == 0 for k in (7, 8, 9))
     assert by[None].n_words == 2 and all(r.perplexity > 0 for r in got if r.n_words)
     assert class_lm.scored(docs.limit(0), class_lm.train(docs.limit(0), classes=4, rounds=1)).count() == 0
+
+
+def test_gains_of_many_are_those_of_each():
+    rng = np.random.default_rng(2)
+    units, k = 30, 4
+    pairs = {(int(v), int(u)): int(m) for v in range(units + 1) for u in range(units) if (m := rng.integers(-4, 6)) > 0}
+    cls = np.append(rng.integers(0, k, units), k)
+    _, n = _likelihood(pairs, cls, k)
+    dense = np.zeros((units, 2 * k + 2), int)
+    for (v, u), m in pairs.items():
+        dense[u, k + cls[v]] += m
+        if v < units:
+            dense[v, cls[u]] += m
+        if u == v:
+            dense[u, -1] += m
+    word, column = np.nonzero(dense)
+    got = class_lm.moves_of(n, cls[:-1], word, column, dense[word, column])
+    for x in range(units):
+        assert np.allclose(got[x], class_lm.moves(n, dense[x, :k], dense[x, k : 2 * k + 1], int(cls[x]), dense[x, -1]))
+
+
+def test_rare_words_have_counts_and_classes_of_their_own(spark):
+    rng = random.Random(6)
+    nouns, verbs = [f"noun{i}x" for i in range(60)], [f"verb{i}x" for i in range(60)]  # alike in their ending
+    rows = []
+    for i in range(200):
+        w = []
+        for _ in range(20):
+            w += ["the", nouns[min(int(rng.expovariate(0.1)), 59)], "always", verbs[min(int(rng.expovariate(0.1)), 59)]]
+        rows.append((i, " ".join(w)))
+    rows += [(200, "the oncex always"), (201, None), (202, "?"), (None, "the noun0x noun0x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = class_lm.train(docs, classes=4, rounds=4, rate=0.005)
+    texts = [(t or "").replace("?", "").split() for _, t in rows]
+    counts = {}
+    for t in texts:
+        for w in t:
+            counts[w] = counts.get(w, 0) + 1
+    table = {r.h: r for r in model.tail.collect()}
+    one = lambda w: class_lm._words(spark_batch(w))[0].view(np.int64)[0]
+    rare = {w: m for w, m in counts.items() if m < 0.005 * sum(counts.values())}
+    assert len(rare) > 60 and {h: r.n for h, r in table.items()} == {one(w): m for w, m in rare.items()}
+    kinds = [{table[one(w)].cls for w in rare if rare[w] > 5 and w.startswith(x)} for x in ("noun", "verb")]
+    assert len(kinds[0]) == len(kinds[1]) == 1 and kinds[0] != kinds[1]
+    # Bigrams of the classes and emissions, counted anew.
+    k = 4
+    cls = {w: table[one(w)].cls if one(w) in table else int(model.cls[model.units.of(class_lm._words(spark_batch(w))[0], np.zeros(1, np.int32))[0]]) for w in counts}
+    n = np.zeros((k + 1, k))
+    for t in texts:
+        for v, u in zip([None, *t], t):
+            n[k if v is None else cls[v], cls[u]] += 1
+    seen = (n > 0).sum(1, keepdims=True)
+    step = np.log((n + (seen + 1) * (n.sum(0) + 1) / (n.sum() + k)) / (n.sum(1, keepdims=True) + seen + 1))
+    assert np.allclose(step, model.step)
+    got = {r.doc_id: r for r in class_lm.scored(docs, model).collect()}
+    assert len(got) == len(rows) and got[201].n_words == got[202].n_words == 0 and got[201].perplexity is None
+    emit = lambda w: math.log(counts[w] + 0.5) - model.norm[cls[w]]
+    for (i, _), t in zip(rows, texts):
+        want = sum(step[k if v is None else cls[v], cls[u]] + emit(u) for v, u in zip([None, *t], t))
+        assert math.isclose(got[i].log_prob, want, abs_tol=1e-6)
+    # All words, seen and not, share no more than 1.
+    whole = np.bincount(model.cls[:-1], np.exp(model.emit), minlength=k)
+    for w in counts:
+        if one(w) in table:
+            whole[cls[w]] += math.exp(emit(w))
+    assert np.all(whole <= 1 + 1e-6)
+    both = [sorted(map(str, x.selectExpr("doc_id", "n_words", "round(log_prob, 6)").collect())) for x in (class_lm.scored(docs, model), class_lm.perplexities(docs, classes=4, rounds=4, rate=0.005))]
+    assert both[0] == both[1]
+    other = class_lm.scored(spark.createDataFrame([(1, "the noun0x"), (2, "the neverx")], "doc_id bigint, text string"), model).orderBy("doc_id").collect()
+    assert other[0].log_prob > other[1].log_prob
+
+
+def spark_batch(w):
+    return pa.RecordBatch.from_arrays([pa.array([w])], ["text"])
