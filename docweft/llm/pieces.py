@@ -5,7 +5,8 @@ stack holds the forward state of every prefix, and a word starts from the state
 shares with the word before. For unigram models the state is the Viterbi score and the last piece.
 For BPE models the best-scored path is not what the model means, so the state is the last piece of the
 prefix's own BPE result: the one piece whose left neighbour, the result of the rest, stays apart from it
-when the two are merged. Both give the ids of the public library.
+when the two are merged. Both give the ids of the public library. Ids are read off backwards at a word's end, so that
+memory is in proportion to the longest word.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SLICE = 4 << 20
 WORDS_KEPT = 400_000
+IDS_KEPT = 8 * WORDS_KEPT
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -141,7 +143,7 @@ class Model:
             self._symbols()
         sym: list[int] = [-1]  # the last piece of every prefix of the word on the stack
         best: list[float] = [0.0]
-        done: list[tuple[int, ...]] = [()]  # the ids of every prefix
+        back: list[int] = [0]  # where that piece begins
         before = ""
         symbol, scores, longest, apart, bpe, out = self.symbol.get, self.scores, self.longest, self._apart, self.kind == 2, self.out
         for w in sorted(words):
@@ -151,7 +153,7 @@ class Model:
                 if x != y:
                     break
                 k += 1
-            del sym[k + 1 :], best[k + 1 :], done[k + 1 :]
+            del sym[k + 1 :], best[k + 1 :], back[k + 1 :]
             for i in range(k + 1, n + 1):
                 if bpe:
                     # Exactly one piece fits, so the order of trying doesn't matter; most are short.
@@ -178,17 +180,24 @@ class Model:
                             j, p, top = a, q, best[a] + scores[q]
                     best.append(top)
                 sym.append(p)
-                x = out[p]
-                # Neighbours that are unknown are one.
-                done.append(done[j] if x == (self.unknown,) == done[j][-1:] else done[j] + x)
+                back.append(j)
             before = w
             self.index[w] = len(self.start) - 1
-            self.flat.extend(done[n])
+            path = []
+            while n:
+                path.append(sym[n])
+                n = back[n]
+            last = -1
+            for p in reversed(path):
+                x = out[p]
+                if last != self.unknown or x != (last,):  # neighbours that are unknown are one
+                    self.flat.extend(x)
+                    last = x[-1]
             self.start.append(len(self.flat))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the texts' offsets in it."""
-        if len(self.index) > WORDS_KEPT:
+        if len(self.index) > WORDS_KEPT or len(self.flat) > IDS_KEPT:
             self._reset()
         texts = pc.fill_null(texts, "")
         odd = pc.or_(pc.match_substring_regex(texts, f"  |^ | $|{MARK}"), pc.equal(texts, "")).to_numpy(zero_copy_only=False)

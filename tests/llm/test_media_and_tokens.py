@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -86,6 +88,29 @@ def test_encoding_is_that_of_the_public_library(spark, small):
     assert pieces.encoded(docs.limit(0)).count() == 0
 
 
+def test_long_words_take_memory_in_proportion():
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(8)
+    base64 = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=8000))
+    m = pieces.Model(open(pieces.MODEL, "rb").read())
+    m.encode(pa.array(["a b"]))
+    for text in (base64, "".join(chr(rng.randint(0x12000, 0x12300)) for _ in range(4000))):
+        tracemalloc.start()
+        ids, _ = m.encode(pa.array([text]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert ids.tolist() == lib.encode(text)
+        assert peak < 40e6
+
+
+def test_long_words_are_not_kept_without_end(monkeypatch):
+    monkeypatch.setattr(pieces, "IDS_KEPT", 100)
+    m = pieces.Model(open(pieces.MODEL, "rb").read())
+    for i in range(5):
+        m.encode(pa.array([f"{i}" + "q7" * 100]))
+    assert len(m.index) == 1
+
+
 def test_unigram_takes_the_best_path():
     vocab = {"▁": -3.0, "a": -4.0, "b": -4.0, "c": -4.0, "ab": -5.0, "bc": -4.5, "▁a": -4.2, "▁ab": -6.5, "abc": -9.0, "cab": -6.0}
 
