@@ -46,8 +46,9 @@ PATTERN = regex.compile(
     |(?<!\w)(?P<name>(?:{_NAMES})\ {_CAP}(?:\ {_CAP})?)""",
     regex.VERBOSE,
 )
-#: What any entity contains, for the engine that passes over most texts.
-HINT = rf"@|\d{{3}}|\d\.\d|(?:key|token|secret|passw(?:or)?d)[\"']?\s*[:=]|\b(?:{_TITLES})\.?\s|(?:{_NAMES}) "
+#: What any entity contains, for the engine that passes over most texts. Its \b, \d and \s are ASCII only, those of PATTERN are not.
+_BLANK, _DIGIT = "[^!-~]", r"\p{Nd}"
+HINT = rf"@|{_DIGIT}{{3}}|{_DIGIT}\.{_DIGIT}|\+{_DIGIT}|[A-Z]{{2}}{_DIGIT}{{2}} ?[A-Z0-9]{{4}}|(?:key|token|secret|passw(?:or)?d)[\"']?{_BLANK}*[:=]|(?:{_TITLES})\.?{_BLANK}|(?:{_NAMES}) "
 
 _SOUNDS = {
     "latin": (("b", "d", "f", "g", "h", "k", "l", "m", "n", "p", "r", "s", "t", "v", "w", "br", "dr", "gr", "st", "tr"), "aeiou"),
@@ -74,8 +75,8 @@ def _like(s: str, draw: _Stream) -> str:
     hexes = all(c in "0123456789abcdefABCDEF" for c in s) and len(s) >= 12
     out = []
     for c in s:
-        if c in "0123456789":
-            out.append("0123456789"[draw.below(10)])
+        if c.isdecimal():
+            out.append(chr(ord(c) - int(c) + draw.below(10)))  # in its own script
         elif c.isalpha():
             x = "abcdef"[draw.below(6)] if hexes else "abcdefghijklmnopqrstuvwxyz"[draw.below(26)]
             out.append(x.upper() if c.isupper() else x)

@@ -237,3 +237,21 @@ def test_many_exceptions_are_joined(spark, monkeypatch):
     plain = sorted(map(str, surrogates.pseudonymised(docs, "secret").collect()))
     monkeypatch.setattr(surrogates, "IN_PLAN", -1)
     assert sorted(map(str, surrogates.pseudonymised(docs, "secret").collect())) == plain
+
+
+HIDDEN = [
+    "+49 30 12 34 56", "+1 (20) 30 40 50", "Г-н Иванов пришёл", "Г-жа Смирнова и Г-н. Орлов", "Mr.\u00a0Weber", "DE89 ABCD EFGH IJKL MN", "token\u00a0= abcdefghijklm", "secret\x0b: abcdefghijklm", "+٤٩ ٣٠ ١٢ ٣٤ ٥٦", "MARIA GARCÍA", "a_b@c.de", "1.2.3.4",
+]
+
+
+def test_every_entity_is_hinted(spark):
+    assert all(surrogates.PATTERN.search(t) for t in HIDDEN)
+    assert surrogates._hinted(pa.array(HIDDEN)).to_pylist() == [True] * len(HIDDEN)
+    rng = random.Random(9)
+    bits = [" ", ".", "+", "-", "(", ")", "\u00a0", "\n", "1", "23", "٤", "DE", "ABCD", "Г-н", "Иванов", "Mr", "Dr", "Weber", "Anna", "key", "token", "=", ":", "abcdefghijklm", "@", "c"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(2, 12))) for _ in range(10000)]
+    found = [t for t in texts if surrogates.PATTERN.search(t)]
+    assert len(found) > 100 and all(surrogates._hinted(pa.array(found)).to_pylist())
+    docs = spark.createDataFrame(list(enumerate(HIDDEN)), "doc_id bigint, text string")
+    got = surrogates.pseudonymised(docs, "secret").collect()
+    assert all(r.n_replaced and r.text != HIDDEN[r.doc_id] for r in got)
