@@ -7,6 +7,12 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan over all cores where its files have fewer parts than there are cores, at the price of a shuffle; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the folder that the session's ``spark.checkpoint.dir`` names; what follows no longer depends on how it was made.
 

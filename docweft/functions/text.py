@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -10,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+#: All that (?U)\s matches, for trimming without a regular expression.
+BLANKS = "\t\n\u000b\f\r \u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 PAGE_OF = r"(?iU)\b(?:halaman|hal\.?|page)\s+\d+\s*(?:dari|of)\s*\d+\b"
 ABBREVIATIONS = ("Mr.", "Mrs.", "Dr.", "No.", "Ps.", "Vs.", "Inc.", "Ltd.", "dll.", "dsb.", "dst.", "hlm.", "tgl.")
@@ -20,6 +23,9 @@ _STOP = {
     "id": "dan atau yang di ke dari untuk dengan pada adalah ini itu akan tidak dalam juga oleh sebagai",
     "en": "the and or of to in for with on is are this that a an by as not",
 }
+_AFTER = "".join(f"(?<!{re.escape(a)})" for a in ABBREVIATIONS)
+_SENTENCE = rf"(?U)(?<=[.!?]){_AFTER}\s+(?=[A-Z0-9\"'\(])(?!{'|'.join(map(re.escape, ABBREVIATIONS))})"
+_STOPPED = rf"""(?U)(?<!\S)[.,;:!?"'()]*({'|'.join(sorted({w for v in _STOP.values() for w in v.split()}))})[.,;:!?"'()]*(?!\S)"""
 
 
 def _col(x: Column | str) -> Column:
@@ -33,7 +39,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(x: Column | str) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(_col(x), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_col(x), F.lit(BLANKS))
 
 
 def is_blank(x: Column | str) -> Column:
@@ -149,26 +155,21 @@ def list_item(x: Column | str) -> Column:
 
 
 def split_sentences(x: Column | str) -> Column:
-    """Sentences of a text; known abbreviations end none, and a sentence begins with an ASCII capital, digit, quote or bracket."""
-    x = F.coalesce(_col(x), F.lit(""))
-    for i, a in enumerate(ABBREVIATIONS):
-        x = F.replace(x, F.lit(a), F.lit(f" __ABBR{i}__ "))
-    parts = F.split(x, r"(?U)(?<=[.!?])\s+(?=[A-Z0-9\"'\(])")
-
-    def restore(s: Column) -> Column:
-        for i, a in enumerate(ABBREVIATIONS):
-            s = F.replace(s, F.lit(f" __ABBR{i}__ "), F.lit(a))
-        return strip(s)
-
-    return F.filter(F.transform(parts, restore), lambda s: s != "")
+    """Sentences of a text; known abbreviations neither end nor begin one, and a sentence begins with an ASCII capital, digit, quote or bracket."""
+    parts = F.split(F.coalesce(_col(x), F.lit("")), _SENTENCE)
+    return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
 def detect_language(x: Column | str, fallback: str = "id") -> Column:
     """id or en by distinct stop words; the fallback for texts of under five words or without any."""
-    ws = words(F.coalesce(_col(x), F.lit("")))
-    bare = F.array_distinct(F.transform(ws, lambda w: F.regexp_replace(F.lower(w), r"^[.,;:!?\"'()]+|[.,;:!?\"'()]+$", "")))
-    hits = {k: F.size(F.array_intersect(bare, F.array(*map(F.lit, v.split())))) for k, v in _STOP.items()}
-    return F.when(F.size(ws) < 5, fallback).when((hits["id"] == 0) & (hits["en"] == 0), fallback).when(hits["id"] >= hits["en"], "id").otherwise("en")
+    x = F.coalesce(_col(x), F.lit(""))
+
+    def body(found: Column) -> Column:
+        hits = {k: F.size(F.array_intersect(found, F.array(*map(F.lit, v.split())))) for k, v in _STOP.items()}
+        return F.when((hits["id"] == 0) & (hits["en"] == 0), fallback).when(hits["id"] >= hits["en"], "id").otherwise("en")
+
+    found = F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(_STOPPED), F.lit(1)))
+    return F.when(x.rlike(r"(?U)^\s*(?:\S++\s++){4}\S"), let(found, body)).otherwise(fallback)
 
 
 def document_id(name: Column | str) -> Column:

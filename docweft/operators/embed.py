@@ -1,16 +1,20 @@
-"""Embedders. The default hashes words into 64 buckets inside Catalyst; others are Arrow functions over batches."""
+"""Embedders, Arrow functions over batches. The default hashes words into 64 buckets."""
 
 from __future__ import annotations
 
+import hashlib
 import importlib.util
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from docweft.config import Embedding
-from docweft.functions import text as T
 
 DIM = 64
 
@@ -19,24 +23,47 @@ class EmbeddingError(RuntimeError):
     pass
 
 
-def bucket(word: Column) -> Column:
-    """MD5 of a word modulo 64, which its last two hex digits decide."""
-    return (F.conv(F.right(F.md5(word.cast("binary")), F.lit(2)), 16, 10).cast("int")) % DIM
+_BLANKS = r"[\t-\r\x{85}\p{Z}]+"
+_MARKS = ".,;:!?\"'()[]"
+_BUCKETS: dict[str, int] = {}
+BUCKETS_KEPT = 200_000
+
+
+def bucket(word: str) -> int:
+    """MD5 of a bare, lower-cased word modulo 64; -1 where nothing is left of it."""
+    bare = word.strip(_MARKS).lower()
+    return hashlib.md5(bare.encode()).digest()[-1] % DIM if bare else -1
+
+
+def _hashed(text: pa.Array) -> pa.Array:
+    words = pc.split_pattern_regex(pc.fill_null(text, "").cast(pa.string()), _BLANKS)
+    ends, flat = words.offsets.to_numpy(), words.values
+    coded = flat.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+    if len(_BUCKETS) > BUCKETS_KEPT:
+        _BUCKETS.clear()
+    known = []
+    for w in coded.dictionary.to_pylist():
+        at = _BUCKETS.get(w)
+        if at is None:
+            at = _BUCKETS[w] = bucket(w)
+        known.append(at)
+    at = np.array(known, np.int64)[coded.indices.to_numpy()] if known else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(text)), np.diff(ends))
+    some = at >= 0
+    counts = np.bincount(row[some] * DIM + at[some], minlength=len(text) * DIM).reshape(-1, DIM).astype(float)
+    norm = np.sqrt((counts * counts).sum(1, keepdims=True))
+    unit = np.divide(counts, norm, out=counts, where=norm > 0)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(text) + 1, dtype=np.int32) * DIM), pa.array(unit.reshape(-1)))
 
 
 def hashing(text: Column | str) -> Column:
-    """Unit-length counts of a text's words by bucket; a text without words has zeros."""
-    x = F.col(text) if isinstance(text, str) else text
-    bare = F.filter(F.transform(T.words(F.coalesce(x, F.lit(""))), lambda w: F.lower(F.regexp_replace(w, r"^[.,;:!?\"'()\[\]]+|[.,;:!?\"'()\[\]]+$", ""))), lambda w: w != "")
-    n = F.sequence(F.lit(0), F.lit(DIM - 1))
-    # Removal from an array of numbers is a plain loop in the JVM, so a word costs one digest and 64 comparisons.
-    counts = T.let(F.transform(bare, bucket), lambda at: F.transform(n, lambda i: (F.size(at) - F.size(F.array_remove(at, i))).cast("double")))
-
-    def scaled(c: Column) -> Column:
-        norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v))
-        return T.let(norm, lambda m: F.transform(c, lambda v: F.when(m > 0, v / m).otherwise(0.0)))
-
-    return T.let(counts, scaled)
+    """Unit-length counts of a text's words by bucket; a null text, or one without words, has zeros. A distinct word of a batch is digested once."""
+    return _hashing(F.col(text) if isinstance(text, str) else text)
+
+
+@F.arrow_udf(ArrayType(DoubleType()))
+def _hashing(text: pa.Array) -> pa.Array:
+    return _hashed(text)
 
 
 def available(module: str) -> bool:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docweft.config import Chunking, Config
 from docweft.functions import text as T
+from docweft.functions.lineage import spread
 from docweft.operators import chunk, clean, embed, export, generate, hierarchy, validate, vectors
 from docweft.plans import pipelines
 from docweft.sources import elements, files, html, tabular
@@ -35,8 +36,13 @@ def query(sql: str | None = None):
     return add
 
 
+#: Tables of texts, whose rows are worth a shuffle where one file part holds them all.
+TEXTS = ("documents", "pages", "benchmark")
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
 
 
 def _big(*names: str) -> list:

@@ -44,13 +44,13 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def parse(files: DataFrame, parser: str = "auto") -> tuple[DataFrame, DataFrame]:
     """Elements of ``path, filename, ext, content``, and ``path, error`` of files that can't be read.
 
-    ``doc_id`` is the path; two files of one name stay two documents. Each format is a branch of one union, so a run over
+    ``doc_id`` is the path; two files of one name stay two documents. Bytes of text files that are no UTF-8 read as U+FFFD. Each format is a branch of one union, so a run over
     one format plans the others away on empty inputs.
     """
     if parser not in ("auto", "native", "docling"):
         raise ValueError(f"no parser {parser!r}")
     docs = files.select(F.col("path").alias("doc_id"), "filename", "ext", "content")
-    text = docs.withColumn("text", F.decode("content", "utf-8")).drop("content")
+    text = docs.withColumn("text", F.make_valid_utf8(F.col("content").cast("string"))).drop("content")
     plain = elements.parse_txt(text.where("ext = 'txt'"))
     marked = elements.parse_markdown(text.where("ext in ('md', 'markdown')"))
     pages = html.parse_html(text.where("ext in ('html', 'htm')"), "doc_id", "text")
