@@ -1,9 +1,10 @@
 """Toxicity by a classifier chain of linear models over hashed words and word beginnings.
 
-Categories are predicted one after the other. The model of a later category also gets the earlier ones'
-log-odds, and is trained on out-of-fold predictions of them, so it sees them as unsure as they will
-be on new texts. The tables label documents as toxic or not; two earlier categories come from those labels
-and seed words, so a document is of such a category only if people called it toxic.
+Categories are predicted one after the other. The model of a later category also gets the probabilities of the
+earlier ones, and is trained on out-of-fold predictions of them, so it sees them as unsure as they will
+be on new texts. The tables label documents as toxic or not and name no kinds of it; the kinds come from the documents:
+spherical k-means over the features that tell toxic documents from others parts the toxic ones into ``GROUPS``
+groups, the earlier categories of the chain. Toxic at all is the last one.
 
 A text's value for a feature is its count per 100 words (of the words plus ``PAD``, which keeps short texts sober).
 """
@@ -21,11 +22,8 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-SEEDS = {
-    "insult": ("idiot", "moron", "stupid", "clown", "loser"),
-    "contempt": ("trash", "scum", "worthless", "pathetic", "disgusting"),
-}
-CATEGORIES = (*SEEDS, "toxic")
+GROUPS = 2
+CATEGORIES = (*(f"group_{i + 1}" for i in range(GROUPS)), "toxic")
 BITS = 20
 STARTS = (4, 5, 6, 7, 8, 9)
 PAD = 20
@@ -51,7 +49,7 @@ def _features(texts: pa.Array) -> tuple[Iterator[tuple[np.ndarray, np.ndarray]],
 
 @dataclass
 class Link:
-    """One model of the chain: a weight for every feature, one for each earlier category's log-odds, a bias."""
+    """One model of the chain: a weight for every feature, one for each earlier category's probability, a bias."""
 
     weights: np.ndarray
     earlier: np.ndarray
@@ -74,10 +72,10 @@ class Chain:
             hit = np.flatnonzero(some[f])
             for k, x in enumerate(self.links):
                 sums[k] += np.bincount(row[hit], x.weights[f[hit]], minlength=len(n))
-        odds = np.zeros_like(sums)
+        p = np.zeros_like(sums)
         for k, x in enumerate(self.links):
-            odds[k] = np.clip(100 * sums[k] / (n + PAD) + x.bias + x.earlier @ odds[:k], -30, 30)
-        return 1 / (1 + np.exp(-odds))
+            p[k] = _sigmoid(100 * sums[k] / (n + PAD) + x.bias + x.earlier @ p[:k])
+        return p
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -97,8 +95,8 @@ class _Sparse:
         return np.bincount(self.col, self.val * g.astype(np.float32)[self.row], minlength=self.cols)
 
 
-def _fit(x: _Sparse, extra: np.ndarray, y: np.ndarray, keep: np.ndarray, steps: int = 250, l2: float = 2e-4) -> tuple[np.ndarray, np.ndarray, float]:
-    """Logistic regression by Adam over the rows of ``keep``; a constant where they are of one class."""
+def _fit(x: _Sparse, extra: np.ndarray, y: np.ndarray, keep: np.ndarray, steps: int = 60, l2: float = 2e-4, memory: int = 10) -> tuple[np.ndarray, np.ndarray, float]:
+    """Logistic regression by L-BFGS over the rows of ``keep``; a constant where they are of one class."""
     size, positive = int(keep.sum()), float(y[keep].sum())
     rate = (positive + 0.5) / (size + 1)
     n, m = x.cols, extra.shape[1]
@@ -106,14 +104,38 @@ def _fit(x: _Sparse, extra: np.ndarray, y: np.ndarray, keep: np.ndarray, steps:
     p[-1] = np.log(rate / (1 - rate))
     if not 0 < positive < size:
         return p[:n], p[n:-1], -30.0 if not positive else 30.0
-    u, v = np.zeros_like(p), np.zeros_like(p)
-    for t in range(1, steps + 1):
-        g = keep * (_sigmoid(x.times(p[:n]) + extra @ p[n:-1] + p[-1]) - y) / size
+
+    def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
+        z = x.times(p[:n]) + extra @ p[n:-1] + p[-1]
+        g = keep * (_sigmoid(z) - y) / size
         d = np.concatenate((x.back(g), extra.T @ g, [g.sum()]))
         d[:-1] += l2 * p[:-1]
-        u = 0.9 * u + 0.1 * d
-        v = 0.999 * v + 0.001 * d * d
-        p -= 0.1 * (u / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        return float((keep * (np.logaddexp(0, z) - y * z)).sum()) / size + l2 / 2 * float(p[:-1] @ p[:-1]), d
+
+    now, g = loss(p)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        q, used = g.copy(), []
+        for s, t, r in reversed(past):
+            used.append(r * float(s @ q))
+            q -= used[-1] * t
+        if past:
+            s, t, r = past[-1]
+            q /= r * float(t @ t)
+        for (s, t, r), a in zip(past, reversed(used)):
+            q += s * (a - r * float(t @ q))
+        step, slope = 1.0 if past else min(1.0, 1 / np.abs(g).sum()), float(g @ q)
+        while True:
+            then, h = loss(p - step * q)
+            if then <= now - 1e-4 * step * slope or step < 1e-8:
+                break
+            step /= 2
+        s, t = -step * q, h - g
+        if s @ t > 1e-12:
+            past = [*past, (s, t, 1 / float(s @ t))][-memory:]
+        gained, p, now, g = now - then, p + s, then, h
+        if gained < 1e-6 * max(1, abs(now)):
+            break
     return p[:n], p[n:-1], float(p[-1])
 
 
@@ -130,6 +152,46 @@ def _select(row: np.ndarray, col: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.flatnonzero(_telling(pos, np.bincount(col[y[row] == 0], minlength=1 << BITS), int(y.sum()), int((y == 0).sum())))
 
 
+def groups_of(features: list[np.ndarray], toxic: np.ndarray, groups: int = GROUPS, rounds: int = 20) -> np.ndarray:
+    """The group of every document, -1 for those that aren't toxic, from each document's distinct features.
+
+    Spherical k-means over the features that toxic documents have more often than others. It begins with the toxic document that
+    has most of them, then always the one least like those chosen; documents without any are of group 0. Ties go to the first.
+    """
+    out = np.where(toxic > 0, 0, -1)
+    mine = np.flatnonzero(toxic)
+    count = lambda at: np.bincount(np.concatenate([features[i] for i in at]) if len(at) else np.zeros(0, np.int64), minlength=1 << BITS)
+    pos, neg = count(mine), count(np.flatnonzero(toxic == 0))
+    tells = _telling(pos, neg, len(mine), len(toxic) - len(mine)) & (pos * max(1, len(toxic) - len(mine)) > neg * max(1, len(mine)))
+    own = np.flatnonzero(tells)
+    place = np.full(1 << BITS, -1)
+    place[own] = np.arange(len(own))
+    lists = [place[features[i]][tells[features[i]]] for i in mine]
+    size = np.array([len(x) for x in lists], int)
+    if not size.sum():
+        return out
+    row, col = np.repeat(np.arange(len(mine)), size), np.concatenate(lists)
+    value = 1 / np.sqrt(pos[own[col]])  # a feature of few documents says more
+    value /= np.sqrt(np.bincount(row, value**2, minlength=len(mine)))[row]
+    x = _Sparse(row, col, value, len(mine), len(own))
+    one = lambda i: x.back((np.arange(len(mine)) == i).astype(float))
+    centres = [one(int(size.argmax()))]
+    while len(centres) < groups:
+        near = np.max([x.times(c) for c in centres], axis=0)
+        centres.append(one(int(np.where(size > 0, near, np.inf).argmin())))
+    group = np.zeros(len(mine), int)
+    for _ in range(rounds):
+        before, group = group, np.argmax([x.times(c) for c in centres], axis=0)
+        for k in range(groups):
+            c = x.back((group == k).astype(float))
+            if c.any():
+                centres[k] = c / np.sqrt(float(c @ c))
+        if np.array_equal(before, group):
+            break
+    out[mine] = group
+    return out
+
+
 def _needed(features: list[np.ndarray], labels: np.ndarray, folds: int) -> np.ndarray:
     """The features that any of the chain's models, over all rows or all but one fold, will select; all others can go beforehand."""
     out = np.zeros(1 << BITS, bool)
@@ -154,7 +216,7 @@ def fit_chain(row: np.ndarray, col: np.ndarray, count: np.ndarray, n_words: np.n
     value = (100 * count / (n_words[row] + PAD)).astype(np.float32)
     fold = np.arange(rows) % folds
     links: list[Link] = []
-    odds = np.zeros((0, rows))
+    odds, earlier = np.zeros(rows), np.zeros((0, rows))
     for y in labels.astype(float):
 
         def model(keep: np.ndarray):
@@ -164,19 +226,19 @@ def fit_chain(row: np.ndarray, col: np.ndarray, count: np.ndarray, n_words: np.n
             place[chosen] = np.arange(len(chosen))
             hit = place[col] >= 0
             x = _Sparse(row[hit], place[col[hit]], value[hit], rows, len(chosen))
-            return x, chosen, _fit(x, odds.T, y, keep)
+            return x, chosen, _fit(x, earlier.T, y, keep)
 
-        out = np.zeros(rows)
+        odds = np.zeros(rows)
         for k in range(folds):
             if (fold != k).any():
                 x, _, (w, e, b) = model(fold != k)
-                out[fold == k] = (x.times(w) + odds.T @ e + b)[fold == k]
+                odds[fold == k] = (x.times(w) + earlier.T @ e + b)[fold == k]
         _, chosen, (w, e, b) = model(np.ones(rows, bool))
         whole = np.zeros(1 << BITS, np.float32)
         whole[chosen] = w
         links.append(Link(whole, e, b))
-        odds = np.vstack((odds, np.clip(out, -30, 30)))
-    return Chain(links, _threshold(odds[-1], labels[-1]))
+        earlier = np.vstack((earlier, _sigmoid(odds)))
+    return Chain(links, _threshold(odds, labels[-1]))
 
 
 def _threshold(odds: np.ndarray, y: np.ndarray) -> float:
@@ -195,7 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, negatives:
     """A chain from at most ``positives`` + ``negatives`` labelled documents, those of the smallest id hashes.
 
     A document labelled more than once is toxic if any label says so; null labels, null ids and labels of
-    unknown documents are not used. Without examples of both classes a category's probability is 0 or 1.
+    unknown documents are not used. Without examples of both classes a category's probability is next to 0 or 1.
     """
     known = labels.select(F.col("doc_id").cast("bigint"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -212,13 +274,13 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, negatives:
             f = (key & ((1 << BITS) - 1)).astype(np.int32)
             count = count.astype(np.int32)
             pack = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary())
-            seeds = [_has(b.column("text"), s) for s in SEEDS.values()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(n), pack(f), pack(count), *seeds], ["doc_id", "toxic", "n", "f", "c", *SEEDS])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(n), pack(f), pack(count)], ["doc_id", "toxic", "n", "f", "c"])
 
-    kept = texts.mapInArrow(run, "doc_id bigint, toxic int, n bigint, f binary, c binary, " + ", ".join(f"{k} boolean" for k in SEEDS)).toArrow().sort_by("doc_id")
+    kept = texts.mapInArrow(run, "doc_id bigint, toxic int, n bigint, f binary, c binary").toArrow().sort_by([("doc_id", "ascending"), ("n", "ascending")])
     toxic = np.array(kept["toxic"].to_pylist(), int).clip(0, 1)
-    y = np.array([*(toxic * np.array(kept[k].to_pylist(), int) for k in SEEDS), toxic]) if len(toxic) else np.zeros((len(CATEGORIES), 0))
     f, count = ([np.frombuffer(x.as_buffer(), np.int32) for x in kept[c]] for c in "fc")
+    group = groups_of(f, toxic)
+    y = np.array([*((group == k).astype(int) for k in range(GROUPS)), toxic])
     needed = _needed(f, y, FOLDS)
     hit = [needed[x] for x in f]
     row = np.repeat(np.arange(len(f), dtype=np.int32), [int(h.sum()) for h in hit])
@@ -228,12 +290,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, negatives:
     return fit_chain(row, col, count, n, y)
 
 
-def _has(texts: pa.Array, seeds: tuple[str, ...]) -> pa.Array:
-    return pc.match_substring_regex(pc.utf8_lower(texts), rf"\b({'|'.join(seeds)})\b")
-
-
 def scored(docs: DataFrame, chain: Chain) -> DataFrame:
-    """``doc_id, p_insult, p_contempt, p_toxic, is_toxic`` of every row.
+    """``doc_id, p_group_1, p_group_2, p_toxic, is_toxic`` of every row.
 
     Null and empty texts are not toxic, with the probabilities of a text without a known feature. Rows stay as many as they
     are, null and repeated ids included. Columns besides ``doc_id`` and ``text`` are not read.

@@ -49,6 +49,37 @@ def test_toxicity_rows_and_nulls(spark):
     assert kept.columns == docs.columns and kept.count() == 406 - 102
 
 
+def test_groups_of_toxic_documents():
+    """Two kinds of toxic documents with words of their own are told apart; those without a telling word are of the first group."""
+    rng = np.random.default_rng(2)
+    kind = np.array([0, 1, -1, -1, -1] * 40)
+    features = [np.unique(np.concatenate((rng.choice(5, 3, replace=False) + (100 if k == 0 else 200 if k == 1 else 300), rng.integers(1000, 1040, 8)))) for k in kind]
+    got = toxicity.groups_of(features, (kind >= 0).astype(int))
+    assert set(got[kind < 0]) == {-1} and {tuple(np.unique(got[kind == k])) for k in (0, 1)} == {(0,), (1,)}
+    assert toxicity.groups_of([np.array([1, 2])] * 4, np.array([1, 0, 1, 0])).tolist() == [0, -1, 0, -1]
+    assert toxicity.groups_of([], np.zeros(0, int)).tolist() == []
+
+
+def test_the_fit_reaches_the_least_loss():
+    """Logistic regression against plain gradient descent until nothing moves."""
+    rng = np.random.default_rng(3)
+    row, col = np.repeat(np.arange(60), 3), rng.integers(0, 7, 180)
+    x = toxicity._Sparse(row, col, rng.random(180).astype(np.float32), 60, 7)
+    y = (x.times(np.array([2.0, -1, 0, 3, -3, 1, 0])) + rng.normal(0, 0.5, 60) > 0).astype(float)
+    extra, keep = rng.random((60, 1)), np.arange(60) % 4 > 0
+
+    def loss(w, e, b):
+        z = x.times(w) + extra @ e + b
+        return ((np.logaddexp(0, z) - y * z)[keep]).mean() + 1e-2 / 2 * (w @ w + e @ e)
+
+    w, e, b = toxicity._fit(x, extra, y, keep, steps=200, l2=1e-2)
+    v, f, c = np.zeros(7), np.zeros(1), 0.0
+    for _ in range(20000):
+        g = keep * (1 / (1 + np.exp(-(x.times(v) + extra @ f + c))) - y) / keep.sum()
+        v, f, c = v - 0.5 * (x.back(g) + 1e-2 * v), f - 0.5 * (extra.T @ g + 1e-2 * f), c - 0.5 * g.sum()
+    assert loss(w, e, b) <= loss(v, f, c) + 1e-5
+
+
 def test_toxicity_without_examples(spark):
     docs, labels = _toy(spark, 20)
     for own in (labels.limit(0), labels.where("toxic = 0")):
