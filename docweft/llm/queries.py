@@ -51,15 +51,22 @@ def op3_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_tree.packed(_table(spark, sf_dir, "conversations"))
 
 
+#: How vectors are packed, by vec_id modulo 4: block length, predictor, order, partitions, stereo mode (halves of a vector as channels), escapes.
+SOUNDS = ((24, "lpc", 3, 0, None, False), (4096, "fixed", 2, 1, 10, False), (16, "lpc", 2, 0, 8, True), (32, "verbatim", 0, 0, None, False))
+
+
 def sound(vectors: DataFrame) -> DataFrame:
     """``vec_id, media``: each vector as a FLAC stream of 16-bit samples, for the tables hold no media. A null vector has none."""
 
     def run(batches):
         for b in batches:
             media = []
-            for v in b.column("embedding").to_pylist():
-                x = np.array([0 if e is None else e for e in v or ()], np.float64)
-                media.append(flac_write.encode(np.round(x * 32767).astype(np.int64)[None, :], block=24, kind="lpc", order=3) if len(x) else None)
+            for i, v in zip(b.column("vec_id").to_pylist(), b.column("embedding").to_pylist()):
+                x = np.round(np.array([0 if e is None else e for e in v or ()], np.float64) * 32767).astype(np.int64)
+                block, kind, order, parts, mode, escape = SOUNDS[(i or 0) % 4]
+                mode = None if len(x) % 2 else mode
+                x = x.reshape(1 if mode is None else 2, -1)
+                media.append(flac_write.encode(x, block=block, kind=kind, order=order, parts=parts, mode=mode, escape=escape) if x.size else None)
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(media, pa.binary())], ["vec_id", "media"])
 
     return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id bigint, media binary")
@@ -74,9 +81,10 @@ QUERIES = {"op6_flac": op6_flac, "op3_chat_tree": op3_chat_tree, "op7_surrogates
 ORACLE: dict[str, str] = {
     "op6_flac": r"""
 WITH s AS (SELECT vec_id, list_transform(embedding, lambda e: round(coalesce(e, 0)::DOUBLE * 32767)::BIGINT) AS x FROM embeddings WHERE len(embedding) > 0),
-b AS (SELECT vec_id, x, unnest(range(0, (len(x) + 23) // 24)) AS block FROM s),
-c AS (SELECT vec_id, block, x[block * 24 + 1 : block * 24 + 24] AS y FROM b)
-SELECT vec_id, block::INTEGER AS block, block * 24 AS first_sample, len(y)::INTEGER AS n_samples, 16000 AS sample_rate, 1 AS channels, 16 AS bits,
+h AS (SELECT vec_id, x, CASE vec_id % 4 WHEN 0 THEN 24 WHEN 1 THEN 4096 WHEN 2 THEN 16 ELSE 32 END AS size, CASE WHEN vec_id % 4 IN (1, 2) AND len(x) % 2 = 0 THEN 2 ELSE 1 END AS ch FROM s),
+b AS (SELECT vec_id, x, size, ch, len(x) // ch AS n, unnest(range(0, (len(x) // ch + size - 1) // size)) AS block FROM h),
+c AS (SELECT vec_id, block, size, ch, list_transform(range(ch * block * size, ch * least(n, (block + 1) * size)), lambda i: x[(i % ch) * n + i // ch + 1]) AS y FROM b)
+SELECT vec_id, block::INTEGER AS block, block * size AS first_sample, (len(y) // ch)::BIGINT AS n_samples, 16000 AS sample_rate, ch AS channels, 16 AS bits,
   array_to_string(list_transform(y, lambda v: printf('%02x%02x', v & 255, (v >> 8) & 255)), '') AS pcm, 'ok' AS status
 FROM c
 """,
