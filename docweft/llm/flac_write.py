@@ -11,15 +11,21 @@ from .flac import crc8, crc16, pcm
 
 class _Out:
     def __init__(self) -> None:
-        self.value, self.n = 0, 0
+        self.parts: list[str] = []
 
     def put(self, x: int, n: int) -> None:
-        self.value = self.value << n | x & ((1 << n) - 1)
-        self.n += n
+        if n:
+            self.parts.append(format(x & ((1 << n) - 1), f"0{n}b"))
+
+    def all(self, xs: list[int], n: int) -> None:
+        mask, form = (1 << n) - 1, f"0{n}b"
+        if n:
+            self.parts += [format(x & mask, form) for x in xs]
 
     def bytes(self) -> bytes:
-        pad = -self.n % 8
-        return (self.value << pad).to_bytes((self.n + pad) // 8)
+        bits = "".join(self.parts)
+        size = -(-len(bits) // 8)
+        return int(bits.ljust(8 * size, "0") or "0", 2).to_bytes(size)
 
 
 def _fold(r: np.ndarray) -> np.ndarray:
@@ -27,9 +33,9 @@ def _fold(r: np.ndarray) -> np.ndarray:
 
 
 def _best_k(u: np.ndarray) -> tuple[int, int]:
-    costs = [int((u >> k).sum()) + len(u) * (k + 1) for k in range(15)]
-    k = int(np.argmin(costs))
-    return k, costs[k]
+    costs = (u[None, :] >> np.arange(15)[:, None]).sum(1) + len(u) * np.arange(1, 16)
+    k = int(costs.argmin())
+    return k, int(costs[k])
 
 
 def _residual(o: _Out, r: np.ndarray, order: int, parts: int, escape: bool) -> None:
@@ -45,14 +51,12 @@ def _residual(o: _Out, r: np.ndarray, order: int, parts: int, escape: bool) -> N
             width = max((int(abs(x)).bit_length() + 1 for x in piece.tolist()), default=0)
             o.put(15, 4)
             o.put(width, 5)
-            for x in piece.tolist():
-                o.put(x, width)
+            o.all(piece.tolist(), width)
             continue
         k, _ = _best_k(_fold(piece))
         o.put(k, 4)
-        for u in _fold(piece).tolist():
-            o.put(1, (u >> k) + 1)
-            o.put(u, k)
+        low, form = (1 << k) - 1, f"0{k}b"
+        o.parts += ["0" * (u >> k) + "1" + (format(u & low, form) if k else "") for u in _fold(piece).tolist()]
 
 
 def _subframe(o: _Out, x: np.ndarray, bits: int, kind: str, order: int, parts: int, escape: bool) -> None:
@@ -61,7 +65,7 @@ def _subframe(o: _Out, x: np.ndarray, bits: int, kind: str, order: int, parts: i
         while not (x & ((2 << wasted) - 1)).any():
             wasted += 1
     x, bits = x >> wasted, bits - wasted
-    if len(set(x.tolist())) == 1:
+    if (x == x[0]).all():
         kind = "constant"
     order = min(order, len(x))
     if kind == "lpc" and order == 0:
@@ -76,24 +80,20 @@ def _subframe(o: _Out, x: np.ndarray, bits: int, kind: str, order: int, parts: i
     if kind == "constant":
         o.put(int(x[0]), bits)
     elif kind == "verbatim":
-        for v in x.tolist():
-            o.put(v, bits)
+        o.all(x.tolist(), bits)
     elif kind == "fixed":
-        for v in x[:order].tolist():
-            o.put(v, bits)
+        o.all(x[:order].tolist(), bits)
         _residual(o, np.diff(x, order), order, parts, escape)
     else:
-        rows = np.array([x[i : i + order][::-1] for i in range(len(x) - order)], float).reshape(-1, order)
-        a = np.linalg.lstsq(rows, x[order:].astype(float), rcond=None)[0] if len(rows) else np.zeros(order)
+        rows = np.lib.stride_tricks.sliding_window_view(x, order)[:-1, ::-1]
+        a = np.linalg.lstsq(rows.astype(float), x[order:].astype(float), rcond=None)[0] if len(rows) else np.zeros(order)
         shift = 9
         q = np.clip(np.round(a * (1 << shift)), -2047, 2047).astype(np.int64)
-        guess = np.array([int((q * x[i : i + order][::-1]).sum()) >> shift for i in range(len(x) - order)], np.int64)
-        for v in x[:order].tolist():
-            o.put(v, bits)
+        guess = (rows * q).sum(1) >> shift
+        o.all(x[:order].tolist(), bits)
         o.put(11, 4)
         o.put(shift, 5)
-        for v in q.tolist():
-            o.put(v, 12)
+        o.all(q.tolist(), 12)
         _residual(o, x[order:] - guess, order, parts, escape)
 
 
