@@ -6,7 +6,8 @@ import re
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -68,43 +69,51 @@ def count_tokens(x: Column | str) -> Column:
     return (count_words(x) * F.lit(1.33)).cast("int")
 
 
-@F.pandas_udf(StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFC")
+_CONTROLS = r"[\x00-\x08\x0b-\x1f\x7f-\x{9f}]"
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _nfc_items(s: pd.Series) -> pd.Series:
-    return pd.Series([None if v is None else [None if x is None else unicodedata.normalize("NFC", x) for x in v] for v in s], dtype=object)
+def _tidy(x: pa.Array) -> pa.Array:
+    """NFC without control characters other than line feeds and tabs, of all strings however deep in lists."""
+    if pa.types.is_list(x.type):
+        lo, hi = (x.offsets[0].as_py(), x.offsets[-1].as_py()) if len(x) else (0, 0)
+        offsets = pc.subtract(x.offsets, lo) if lo else x.offsets
+        return pa.ListArray.from_arrays(offsets.cast(pa.int32()), _tidy(x.values.slice(lo, hi - lo)), mask=x.is_null() if x.null_count else None)
+    # The library's own utf8_normalize adds blanks to some texts.
+    normal = [v if v is None or v.isascii() else unicodedata.normalize("NFC", v) for v in x.to_pylist()]
+    return pc.replace_substring_regex(pa.array(normal, pa.string()), _CONTROLS, "")
 
 
-@F.pandas_udf(ArrayType(ArrayType(StringType())))
-def _nfc_rows(s: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else [[None if x is None else unicodedata.normalize("NFC", x) for x in v] for v in t] for t in s], dtype=object)
+@F.arrow_udf(StringType())
+def _tidy_text(x: pa.Array) -> pa.Array:
+    return _tidy(x)
 
 
-def nfc_items(x: Column | str) -> Column:
-    x = _col(x)
-    return F.when(F.exists(x, lambda v: v.rlike(r"[^\x00-\x7f]")), _nfc_items(x)).otherwise(x)
+@F.arrow_udf(ArrayType(StringType()))
+def _tidy_items(x: pa.Array) -> pa.Array:
+    return _tidy(x)
 
 
-def nfc_rows(x: Column | str) -> Column:
-    x = _col(x)
-    return F.when(F.exists(x, lambda r: F.exists(r, lambda v: v.rlike(r"[^\x00-\x7f]"))), _nfc_rows(x)).otherwise(x)
+@F.arrow_udf(ArrayType(ArrayType(StringType())))
+def _tidy_rows(x: pa.Array) -> pa.Array:
+    return _tidy(x)
 
 
 def normalize_unicode(x: Column | str) -> Column:
-    """NFC without control characters other than line feeds and tabs; ASCII texts never leave the JVM's own path."""
-    x = F.coalesce(_col(x), F.lit(""))
-    return F.regexp_replace(F.when(x.rlike(r"[^\x00-\x7f]"), _nfc(x)).otherwise(x), r"[\p{Cc}&&[^\n\t]]", "")
+    """NFC without control characters other than line feeds and tabs; null reads as empty. An Arrow function, for Catalyst knows no NFC."""
+    return _tidy_text(F.coalesce(_col(x), F.lit("")))
+
+
+def normalize_items(x: Column | str) -> Column:
+    return _tidy_items(_col(x))
 
 
-def drop_controls(x: Column | str) -> Column:
-    return F.regexp_replace(F.coalesce(_col(x), F.lit("")), r"[\p{Cc}&&[^\n\t]]", "")
+def normalize_rows(x: Column | str) -> Column:
+    return _tidy_rows(_col(x))
 
 
 def fix_broken_ocr(x: Column | str) -> Column:
-    x = F.translate(F.replace(F.coalesce(_col(x), F.lit("")), F.lit("�"), F.lit("")), "□☐", "  ")
+    x = F.coalesce(_col(x), F.lit(""))
+    x = F.when(x.rlike("[\ufffd□☐]"), F.translate(F.replace(x, F.lit("\ufffd"), F.lit("")), "□☐", "  ")).otherwise(x)
     return F.regexp_replace(x, r"([a-zA-Z])\1{6,}", "$1")
 
 
@@ -123,16 +132,24 @@ def is_pdf_page_number(x: Column | str) -> Column:
 
 
 def strip_page_markers(x: Column | str) -> Column:
-    return F.regexp_replace(_col(x), PAGE_OF, "")
+    x = _col(x)  # the words first, for which no boundaries have to be told
+    return F.when(x.rlike("[pP][aA][gG][eE]|[hH][aA][lL]"), F.regexp_replace(x, PAGE_OF, "")).otherwise(x)
+
+
+def may_have_page_lines(x: Column | str) -> Column:
+    """False only if no line of a text is a page number."""
+    end = r"[\r\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+    return _col(x).rlike(rf"(?:^|{end})\s*(?:[^\p{{L}}\d]*\d|[hHpP])")
 
 
 def collapse_whitespace(x: Column | str) -> Column:
-    return F.regexp_replace(_col(x), "[ \t]+", " ")
+    return F.regexp_replace(_col(x), "[ \t]{2,}|\t", " ")
 
 
 def collapse_blank_lines(x: Column | str, most: int = 2) -> Column:
-    squeezed = F.regexp_replace(_col(x), "(?:[ \t]*\n){%d,}" % (most + 1), "\n" * most)
-    return F.regexp_replace(squeezed, r"^\n+|\n+$", "")
+    x = _col(x)
+    squeezed = F.regexp_replace(x, "(?:[ \t]*\n){%d,}" % (most + 1), "\n" * most)
+    return F.when(F.contains(x, F.lit("\n")), F.btrim(squeezed, F.lit("\n"))).otherwise(x)
 
 
 def heading_level(x: Column | str) -> Column:

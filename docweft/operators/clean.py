@@ -19,16 +19,23 @@ def prune(e: DataFrame) -> DataFrame:
     return e.where(~T.is_blank("content") | F.col("type").isin("document", "table", "page_break") | (F.coalesce(F.size("items"), F.lit(0)) > 0))
 
 
+def on_leaves(e: DataFrame, fn: Callable[[Column], Column]) -> DataFrame:
+    """``fn`` on content, items and cells."""
+    return e.withColumn("content", fn(F.col("content"))).withColumn("items", F.transform("items", fn)).withColumn("rows", F.transform("rows", lambda r: F.transform(r, fn)))
+
+
 def everywhere(e: DataFrame, fn: Callable[[Column], Column]) -> DataFrame:
     """``fn`` on content, items and cells, then pruned."""
-    return prune(e.withColumn("content", fn(F.col("content"))).withColumn("items", F.transform("items", fn)).withColumn("rows", F.transform("rows", lambda r: F.transform(r, fn))))
+    return prune(on_leaves(e, fn))
+
+
+def _unicode(e: DataFrame) -> DataFrame:
+    return e.withColumn("content", T.normalize_unicode("content")).withColumn("items", T.normalize_items("items")).withColumn("rows", T.normalize_rows("rows"))
 
 
 def unicode_everywhere(e: DataFrame) -> DataFrame:
-    """NFC and no control characters. Lists and tables go to the Arrow function whole, and only if they aren't ASCII."""
-    e = e.withColumn("content", T.normalize_unicode("content"))
-    e = e.withColumn("items", T.nfc_items("items")).withColumn("rows", T.nfc_rows("rows"))
-    return prune(e.withColumn("items", F.transform("items", T.drop_controls)).withColumn("rows", F.transform("rows", lambda r: F.transform(r, T.drop_controls))))
+    """NFC and no control characters."""
+    return prune(_unicode(e))
 
 
 def _without_page_lines(content: Column) -> Column:
@@ -36,13 +43,17 @@ def _without_page_lines(content: Column) -> Column:
         kept = lambda ls: F.filter(ls, lambda x: ~T.is_page_number_line(x))
         return T.let(T.lines(c), lambda ls: T.let(kept(ls), lambda k: F.when(F.size(k) < F.size(ls), T.strip(F.array_join(k, "\n"))).otherwise(c)))
 
-    return T.let(content, body)
+    return T.let(content, lambda c: F.when(T.may_have_page_lines(c), body(c)).otherwise(c))
+
+
+def _page_numbers(e: DataFrame) -> DataFrame:
+    content = F.when(F.col("type") == "paragraph", _without_page_lines(F.col("content"))).otherwise(F.col("content"))
+    return on_leaves(e.withColumn("content", content), lambda x: T.strip(T.strip_page_markers(x)))
 
 
 def page_numbers(e: DataFrame) -> DataFrame:
     """Lines that are page numbers, in paragraphs; "page 3 of 12" within any text."""
-    content = F.when(F.col("type") == "paragraph", _without_page_lines(F.col("content"))).otherwise(F.col("content"))
-    return everywhere(e.withColumn("content", content), lambda x: T.strip(T.strip_page_markers(x)))
+    return prune(_page_numbers(e))
 
 
 def boilerplate_lines(e: DataFrame, header: bool = True, share: float = 0.5) -> DataFrame:
@@ -80,21 +91,24 @@ def repeated_headings(e: DataFrame, times: int = 3) -> DataFrame:
     return e2.where(F.col("_dw_norm").isNull() | (F.col("_dw_norm") == "") | (F.col("_dw_n") < times) | (F.col("_dw_rn") == 1)).select(e.columns)
 
 
-def clean(e: DataFrame, cfg: Cleaning = Cleaning()) -> DataFrame:
+def clean(e: DataFrame, cfg: Cleaning = Cleaning(), paged: bool | None = None) -> DataFrame:
     """All rules that are switched on.
 
     Documents without page breaks have no headers or footers, and those of texts, Markdown, HTML and tables never
-    have one; only where there are page breaks do the two rules run, over a table written once before each.
+    have one. ``paged`` tells whether any has; where it isn't known, the table is written once and asked. Only with page breaks do
+    the two rules run, over a table written once before each.
     """
     if cfg.fix_invalid_unicode:
-        e = unicode_everywhere(e)
+        e = _unicode(e)
     if cfg.fix_broken_ocr:
-        e = everywhere(e, T.fix_broken_ocr)
+        e = on_leaves(e, T.fix_broken_ocr)
     if cfg.remove_page_numbers:
-        e = page_numbers(e)
-    if cfg.remove_repeated_headers or cfg.remove_repeated_footers:
+        e = _page_numbers(e)
+    if cfg.fix_invalid_unicode or cfg.fix_broken_ocr or cfg.remove_page_numbers:
+        e = prune(e)  # none of the three fills a blank leaf, so once is as good as after each
+    if (cfg.remove_repeated_headers or cfg.remove_repeated_footers) and paged is not False:
         e = cut(e)
-        if e.where("type = 'page_break'").limit(1).count():
+        if paged or e.where("type = 'page_break'").limit(1).count():
             if cfg.remove_repeated_headers:
                 e = cut(repeated_lines(e, True))
             if cfg.remove_repeated_footers:

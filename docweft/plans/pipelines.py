@@ -33,9 +33,9 @@ class Processed:
         return docs.crossJoin(score).crossJoin(failed)
 
 
-def from_elements(e: DataFrame, names: DataFrame | None = None, cfg: Config = Config()) -> Processed:
-    """Cleaning, hierarchy, blocks, chunks, metadata and validation of an element table."""
-    tree = cut(hierarchy.promote_headings(clean.clean(e, cfg.cleaning)))  # read for blocks and for language samples
+def from_elements(e: DataFrame, names: DataFrame | None = None, cfg: Config = Config(), paged: bool | None = None) -> Processed:
+    """Cleaning, hierarchy, blocks, chunks, metadata and validation of an element table; ``paged`` tells whether it has page breaks."""
+    tree = cut(hierarchy.promote_headings(clean.clean(e, cfg.cleaning, paged)))  # read for blocks and for language samples
     blocks = hierarchy.blocks(tree)
     chunks = chunk.chunks(blocks, names, cfg.chunking)
     chunks = validate.enrich(chunks, validate.language_samples(tree), cfg.metadata, tokens.counter(cfg.chunking.encoding))
@@ -46,14 +46,15 @@ def process_texts(docs: DataFrame, cfg: Config = Config(), markdown: bool = Fals
     """``doc_id, text[, filename]`` as plain text or Markdown."""
     own = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     names = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "filename") if "filename" in docs.columns else None
-    return from_elements(elements.parse_markdown(own) if markdown else elements.parse_txt(own), names, cfg)
+    return from_elements(elements.parse_markdown(own) if markdown else elements.parse_txt(own), names, cfg, paged=False)
 
 
 def process(spark: SparkSession, path: str, cfg: Config = Config()) -> Processed:
     """All supported files under a path; files that can't be read are in ``errors``."""
     raw = files.read_files(spark, path)
     e, errors = files.parse(raw, cfg.parsing.parser)
-    done = from_elements(e, raw.select(F.col("path").alias("doc_id"), "filename"), cfg)
+    paged = bool(raw.where("ext = 'pdf'").limit(1).count())
+    done = from_elements(e, raw.select(F.col("path").alias("doc_id"), "filename"), cfg, paged)
     done.errors = errors
     return done
 
