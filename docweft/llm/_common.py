@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
+KEPT_POWERS = SLICE_BYTES + 1
 #: Ids that are sent to every executor; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 _RNG = np.random.default_rng(20240229)
@@ -90,13 +91,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _power(r: np.uint64, n: int) -> np.ndarray:
+    x = np.full(n, r, np.uint64)
+    x[0] = 1
+    return np.multiply.accumulate(x)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POW.get("p", ())) < n:
-        size = 1 << max(20, (n - 1).bit_length())
-        for name, r in (("p", _R), ("i", _RINV)):
-            x = np.full(size, r, np.uint64)
-            x[0] = 1
-            _POW[name] = np.multiply.accumulate(x)
+    if n > KEPT_POWERS:  # of a single long text; a worker that lives on doesn't keep them
+        return _power(_R, n), _power(_RINV, n)
+    if not _POW:
+        _POW.update(p=_power(_R, KEPT_POWERS), i=_power(_RINV, KEPT_POWERS))
     return _POW["p"][:n], _POW["i"][:n]
 
 
@@ -136,6 +141,7 @@ def strings(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about ``size`` bytes of text; a longer text is a piece of its own."""
+    pa.default_memory_pool().release_unused()  # what earlier tasks of this worker left
     for b in batches:
         if not b.num_rows:
             continue

@@ -26,9 +26,11 @@ from . import _common as C
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE = 4 << 20
-WORDS_KEPT = 400_000
-IDS_KEPT = 8 * WORDS_KEPT
+SLICE = 2 << 20
+#: What the store may hold before all but the words of the last slice leave it. A worker stays some 200 MB larger than an idle one, and an executor has several.
+WORDS_KEPT = 100_000
+IDS_KEPT = 5 * WORDS_KEPT
+APART_KEPT = 200_000
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -95,6 +97,7 @@ class Model:
         self.raw_at = np.concatenate(([0], np.cumsum(self.raw_len)))[:-1]
         self.raw_all = np.frombuffer(b"".join(self.raw), np.uint8)
         self._apart: dict[int, bool] = {}
+        self._last: list[str] = []
         self.out: dict[int, tuple[int, ...]] = {}
         self._reset()
 
@@ -131,7 +134,7 @@ class Model:
         return k
 
     def _apart_now(self, a: int, b: int) -> bool:
-        if len(self._apart) > 1_000_000:
+        if len(self._apart) > APART_KEPT:
             self._apart.clear()
         x, y = self.spelt[a], self.spelt[b]
         ok = self._apart[a << 24 | b] = self.merges(x + y) == [x, y]
@@ -198,7 +201,7 @@ class Model:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the texts' offsets in it."""
         if len(self.index) > WORDS_KEPT or len(self.flat) > IDS_KEPT:
-            self._reset()
+            self._keep(self._last)
         texts = pc.fill_null(texts, "")
         odd = pc.or_(pc.match_substring_regex(texts, f"  |^ | $|{MARK}"), pc.equal(texts, "")).to_numpy(zero_copy_only=False)
         if not self.prefix:
@@ -222,8 +225,23 @@ class Model:
         start, ids = np.frombuffer(self.start, np.int64).copy(), np.frombuffer(self.flat, np.int32).copy()
         n = start[code + 1] - start[code]
         ends = np.concatenate(([0], np.cumsum(n)))
+        self._last = words
         return ids[np.repeat(start[code] - ends[:-1], n) + np.arange(ends[-1])], ends[lists]
 
+    def _keep(self, words: list[str]) -> None:
+        """Only ``words`` stay in the store, which are most likely to come again; none if even they are too many."""
+        at = np.array([self.index[w] for w in words], np.int64)
+        start, ids = np.frombuffer(self.start, np.int64), np.frombuffer(self.flat, np.int32)
+        n = start[at + 1] - start[at]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        kept = ids[np.repeat(start[at] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        del start, ids  # else the arrays can't grow
+        self._reset()
+        if len(words) <= WORDS_KEPT // 2 and ends[-1] <= IDS_KEPT // 2:
+            self.index = dict(zip(words, range(len(words))))
+            self.flat.frombytes(kept)
+            self.start = array("q", ends.tolist())
+
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all texts in one array, and the texts' offsets in it."""
         n = self.raw_len[ids]
