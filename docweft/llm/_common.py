@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
@@ -186,16 +186,20 @@ def ngram(h: np.ndarray, n: int) -> np.ndarray:
     return mix(s)
 
 
+def with_sums(df: DataFrame, keys: list[str], *sums) -> DataFrame:
+    """``df`` with aggregates over the rows of equal ``keys`` (none null). A window would bring the rows of a key into one task; sums are taken before they are sent, and the join back is split where a key is hot."""
+    return df.join(df.groupBy(*keys).agg(*sums), keys)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest member of each node's connected component.
 
     ``edges`` has bigint columns ``a`` and ``b``; null ends and loops are ignored. Returns
     ``node, root`` for every node of an edge, roots included. Alternates large-star and small-star
-    steps, each one shuffle, and checkpoints between rounds; no node's neighbours are gathered.
+    steps and checkpoints between rounds; no node's neighbours are gathered, however many it has.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = cut(e)
-    by_u = Window.partitionBy("u")
 
     def mark(x: DataFrame) -> tuple:
         return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -203,8 +207,8 @@ def components(edges: DataFrame) -> DataFrame:
     before = mark(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(by_u))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        m = large.withColumn("m", F.min("v").over(by_u))
+        large = with_sums(both, ["u"], F.min("v").alias("least")).withColumn("m", F.least("u", "least")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        m = with_sums(large, ["u"], F.min("v").alias("m"))
         small = m.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         e = cut(small)
         after = mark(e)

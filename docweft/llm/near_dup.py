@@ -19,12 +19,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _common as C
 
 BROADCAST_ROWS = 200_000
+#: Members of a block of an inverted list.
+BLOCK = 1000
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -71,7 +73,7 @@ def prefixes(nodes: DataFrame, least: float) -> DataFrame:
     """``rep, n, sketch, vs``: the rarest retained values by which a node must meet a partner; nodes that can't have one are left out."""
     values = nodes.select("rep", F.explode("sketch").alias("value"))
     # Values are unique within a sketch, so a frequency above one means another node.
-    shared = values.withColumn("f", F.count("*").over(Window.partitionBy("value"))).where("f > 1")
+    shared = C.with_sums(values, ["value"], F.count("*").alias("f")).where("f > 1")
     kept = shared.groupBy("rep").agg(F.collect_list(F.struct("f", "value")).alias("vs"))
     need = F.greatest(F.lit(1), F.ceil(F.lit(least) * F.size("sketch") - F.lit(1e-9)).cast("int"))
     sk = nodes.select("rep", "n", "sketch", need.alias("need"))
@@ -121,7 +123,7 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, n: int) -> Dat
             for i, (p, q) in enumerate(zip(ta.indices.to_pylist(), tb.indices.to_pylist())):
                 a, b = sa[p], sb[q]
                 both = len(a) + len(b) - len(np.union1d(a, b))
-                j[i] = both / (len(a) + len(b) - both)
+                j[i] = both / max(1, len(a) + len(b) - both)
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(j)], ["a", "b", "jaccard"]).filter(pa.array(j >= threshold - 1e-9))
 
     found = pairs.join(x, "a").join(y, "b").mapInArrow(run, "a bigint, b bigint, jaccard double")
@@ -150,11 +152,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.6, n: int = 3, k: int
     seen = C.cut(sketches(docs, n, k).where("n > 0"))
     nodes = seen.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     listed = C.cut(prefixes(nodes, least))
-    same = seen.select("doc_id", "s1", "s2").withColumn("rep", F.min("doc_id").over(Window.partitionBy("s1", "s2"))).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    same = C.with_sums(seen.select("doc_id", "s1", "s2"), ["s1", "s2"], F.min("doc_id").alias("rep")).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     entries = listed.select("rep", "n", F.explode("vs").alias("value"))
-    by_value = Window.partitionBy("value")
     me = F.struct("rep", "n")
-    ends = entries.select(me.alias("x"), F.array(F.min(me).over(by_value), F.max(me).over(by_value)).alias("ends")).select("x", F.explode("ends").alias("y"))
+    ends = C.with_sums(entries, ["value"], F.min(me).alias("lo"), F.max(me).alias("hi")).select(me.alias("x"), F.explode(F.array("lo", "hi")).alias("y"))
     stars = ends.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x.rep < y.rep")
     stars = stars.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).where(_near_size(threshold)).select("a", "b").distinct()
     tried = C.cut(estimated(stars, listed, least, k))
@@ -162,8 +163,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.6, n: int = 3, k: int
 
     group = C.components(first)
     grouped = entries.join(group.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    lists = grouped.groupBy("value", "root").agg(F.collect_list(me).alias("members"))
-    lists = lists.withColumn("groups", F.count("*").over(by_value)).where("groups > 1")
+    # Lists are cut into blocks of about BLOCK, so none is ever whole in one row.
+    sizes = grouped.groupBy("value", "root").agg(F.count("*").alias("size"))
+    open_ = sizes.groupBy("value").agg(F.count("*").alias("groups")).where("groups > 1").select("value")
+    some = grouped.join(open_, "value", "left_semi").join(sizes, ["value", "root"])
+    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK))
+    lists = some.groupBy("value", "root", block.alias("block")).agg(F.collect_list(me).alias("members"))
     left, right = (lists.select("value", F.col("root").alias(f"r_{c}"), F.col("members").alias(f"m_{c}")) for c in "ab")
     across = left.join(right, "value").where("r_a < r_b").select(F.explode("m_a").alias("x"), "m_b").select("x", F.explode("m_b").alias("y"))
     across = across.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x.rep < y.rep")
@@ -172,4 +177,4 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.6, n: int = 3, k: int
     second = verified(later, docs, threshold, n).select("a", "b")
 
     found = C.components(same.unionByName(first).unionByName(second))
-    return found.select(F.col("node").alias("doc_id"), F.col("root").alias("kept_doc_id"), F.count("*").over(Window.partitionBy("root")).alias("group_size"))
+    return C.with_sums(found, ["root"], F.count("*").alias("group_size")).select(F.col("node").alias("doc_id"), F.col("root").alias("kept_doc_id"), "group_size")
