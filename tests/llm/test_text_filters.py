@@ -81,6 +81,26 @@ def test_decontamination_of_empty_tables(spark):
     assert decontaminate.contaminated(docs_of(spark, [(1, prose(20))]), b).count() == 0
 
 
+def test_long_items_with_many_candidates_align_in_parts(spark, monkeypatch):
+    items = [(k, prose(n)) for k, n in enumerate([8, 9, 12, 60, 900])]
+    rows = [(10 * k + i, prose(40) + " " + changed(t, i % 3) + " " + prose(7)) for k, t in items for i in range(6)] + [(900, " ".join(t for _, t in items) * 3)]
+    docs, bench = docs_of(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")
+    whole = sorted(map(str, decontaminate.contaminated(docs, bench).collect()))
+    assert len(whole) > 25
+    for cells in (1, 3000):
+        monkeypatch.setattr(decontaminate, "CELLS", cells)
+        index = decontaminate.Index(items, 12, 0.05)
+        got = set()
+        for d, t in rows:
+            cp, offsets = decontaminate.code_points([t])
+            for _, i, e in zip(*index.search(cp, offsets)):
+                got.add((d, int(index.ids[i]), int(e), int(index.e[i])))
+        best = {}
+        for d, i, e, most in got:
+            best[d, i] = min(best.get((d, i), (e, most)), (e, most))
+        assert sorted(f"Row(doc_id={d}, item_id={i}, edits={e}, max_edits={m})" for (d, i), (e, m) in best.items()) == whole
+
+
 def test_decontamination_in_several_passes(spark, monkeypatch):
     items = [(k, prose(10)) for k in range(6)]
     rows = [(k, prose(5) + " " + t) for k, t in items]
@@ -177,21 +197,44 @@ def test_repeated_passages(spark):
         rows.append((d, "  ".join(parts)))
     rows += [(50, " ".join(["same"] * 200)), (51, "\n".join(["same"] * 120)), (60, None), (61, ""), (None, long[0]), (0, rows[0][1]), (0, rows[0][1])]
     got = sorted((r.doc_id, r.start_word, r.end_word, r.n_words) for r in suffix_dedup.repeated_passages(docs_of(spark, rows)).collect())
+    want = passages_by_force(rows)
+    assert len(want) > 10
+    assert got == want
+
+
+def passages_by_force(rows):
     where: dict = {}
     for d, t in rows:
         w = (t or "").split()
         for p in range(len(w) - 49):
             if d is not None:
                 where.setdefault(tuple(w[p : p + 50]), set()).add((d, p))
-    hits = sorted({x for s in where.values() if len({d for d, _ in s}) > 1 for x in s})
     want: list = []
-    for d, p in hits:
+    for d, p in sorted({x for s in where.values() if len({d for d, _ in s}) > 1 for x in s}):
         if want and want[-1][0] == d and p <= want[-1][2]:
             want[-1][2] = p + 50
         else:
             want.append([d, p, p + 50])
-    assert len(want) > 10
-    assert got == [(d, a, b, b - a) for d, a, b in want]
+    return [(d, a, b, b - a) for d, a, b in want]
+
+
+def test_passages_of_hot_groups_over_many_ranges(spark, monkeypatch):
+    """A passage of every document, equal documents within and across runs, and more ranges than groups, against brute force; borders don't matter."""
+    monkeypatch.setattr(suffix_dedup, "RUN_BYTES", 3000)
+    rng = random.Random(12)
+    hot = [f"h{i}" for i in range(90)]
+    rows = [(d, " ".join([f"u{d}_{i}" for i in range(rng.randint(0, 9))] + hot[rng.randint(0, 5) : 90 - rng.randint(0, 5)] + rng.choices("xyz", k=60) * (d % 2))) for d in range(40)]
+    rows += [(100 + d, rows[3][1]) for d in range(20)] + [(200, " ".join(rng.choices("xyz", k=400)))] + [(3, rows[3][1])]
+    docs = docs_of(spark, rows)
+    want = passages_by_force(rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("2", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = sorted((r.doc_id, r.start_word, r.end_word, r.n_words) for r in suffix_dedup.repeated_passages(docs).collect())
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_passages_of_an_empty_table(spark):
