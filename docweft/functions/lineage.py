@@ -14,19 +14,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def _folder(df: DataFrame) -> None:
-    """See that the session has a checkpoint folder: that of ``spark.checkpoint.dir``. Where the setting is missing, a local master gets a temporary one; a cluster is refused."""
+def shared_folder(df: DataFrame) -> str:
+    """The session's checkpoint folder, that of ``spark.checkpoint.dir``. Where the setting is missing, a local master gets a temporary one; a cluster is refused."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         shared = sc.getConf().get("spark.checkpoint.dir")
         if not shared and not (sc.master or "").startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="docweft-shared-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again; what follows no longer depends on how it was made, and reads the columns it needs."""
-    _folder(df)
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,11 +10,14 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 QUERY_ROWS = 10_000
+#: Vectors and queries of one product, whose scores then take some MB.
+TILE_ROWS, TILE_QUERIES = 2048, 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -62,24 +65,37 @@ def batch_search(vectors: DataFrame, queries: DataFrame, top_k: int = 5, key: st
             by_size: dict[int, list[int]] = {}
             for at, x in enumerate(qs):
                 by_size.setdefault(len(x), []).append(at)
+            sets = {size: (np.array(at), np.array([qs[i] for i in at]).reshape(len(at), size)) for size, at in by_size.items() if size}
             for b in batches:
-                vs, keys = b.column("v").to_pylist(), b.column("k").to_pylist()
-                out: list[tuple] = []
-                for size, at in by_size.items():
-                    mine = [j for j, x in enumerate(vs) if x is not None and len(x) == size and size and None not in x]
-                    if not mine:
-                        continue
-                    m, n = np.array([vs[j] for j in mine]), np.array([qs[j] for j in at])
-                    norm = np.linalg.norm(m, axis=1)[:, None] * np.linalg.norm(n, axis=1)[None, :]
-                    s = np.round(np.maximum(0.0, (1 + np.divide(m @ n.T, norm, out=np.zeros_like(norm), where=norm > 0)) / 2), 6)
-                    for c, j in enumerate(at):
-                        col = s[:, c]
-                        best = np.arange(len(col)) if len(col) <= top_k else np.flatnonzero(col >= np.partition(col, -top_k)[-top_k])
-                        best = sorted(best.tolist(), key=lambda r: (-col[r], keys[mine[r]]))[:top_k]
-                        out += [(names[j], keys[mine[r]], float(col[r])) for r in best]
-                if out:
-                    cols = list(zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], types[0]), pa.array(cols[1], types[1]), pa.array(cols[2], pa.float64())], ["q", "k", "score"])
+                v, keys = b.column("v"), b.column("k")
+                ends, flat = v.offsets.to_numpy(), v.values
+                whole = np.diff(ends) * v.is_valid().to_numpy(zero_copy_only=False)
+                if flat.null_count:
+                    holes = np.concatenate(([0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))))
+                    whole[holes[ends[1:]] > holes[ends[:-1]]] = 0
+                flat = flat.to_numpy(zero_copy_only=False)
+                place = np.empty(len(keys), np.int64)
+                place[pc.array_sort_indices(keys).to_numpy()] = np.arange(len(keys))
+                for size, (at, n) in sets.items():
+                    mine = np.flatnonzero(whole == size)
+                    for lo in range(0, len(mine), TILE_ROWS):
+                        j = mine[lo : lo + TILE_ROWS]
+                        m = flat[ends[j][:, None] + np.arange(size)]
+                        for c in range(0, len(at), TILE_QUERIES):
+                            q, r, s = best(m, n[c : c + TILE_QUERIES], place[j])
+                            cols = [pa.array([names[i] for i in at[c + q]], types[0]), keys.take(pa.array(j[r])), pa.array(s)]
+                            yield pa.RecordBatch.from_arrays(cols, ["q", "k", "score"])
+
+        def best(m, n, place):
+            """Query, row and score of the k best rows of every query, ties by the rows' place."""
+            norm = np.linalg.norm(m, axis=1)[:, None] * np.linalg.norm(n, axis=1)[None, :]
+            s = np.round(np.maximum(0.0, (1 + np.divide(m @ n.T, norm, out=np.zeros_like(norm), where=norm > 0)) / 2), 6)
+            r, q = np.nonzero(s >= np.partition(s, -top_k, axis=0)[-top_k]) if len(s) > top_k else np.nonzero(np.ones(s.shape, bool))
+            order = np.lexsort((place[r], -s[r, q], q))
+            r, q = r[order], q[order]
+            first = np.searchsorted(q, np.arange(s.shape[1]))
+            keep = np.arange(len(q)) - first[q] < top_k
+            return q[keep], r[keep], s[r[keep], q[keep]]
 
         types = [to_arrow_type(q.schema["q"].dataType), to_arrow_type(v.schema["k"].dataType)]
         part = v.where("k is not null").mapInArrow(run, f"q {kinds['q']}, k {kinds['k']}, score double")
@@ -111,11 +127,16 @@ def flatten(chunks: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Collections of records ``id, text, …, embedding`` under one path; each write is a new version of a collection.
+    """Collections of records ``id, text, …, embedding`` under one path.
 
-    Readers take the version that the last finished write names, so a lost executor or a failed write leaves the old one.
+    A collection is a base and changes to it, each a folder of its own: records put there and ids taken away. A version lists them in order,
+    so a write costs what it changes, not what is there. Readers take the last version that was finished, so a lost
+    executor or a failed write leaves the one before. When changes come to half the base they are merged with it; when only their number
+    grows, with each other. What no version but the last two lists is deleted.
     """
 
+    MOST = 16
+
     def __init__(self, spark: SparkSession, path: str, collection: str = "documents"):
         self.spark, self.path, self.collection = spark, path.rstrip("/"), collection
 
@@ -130,40 +151,91 @@ class Store:
         if not fs.exists(home):
             return []
         names = sorted(s.getPath().getName() for s in fs.listStatus(home))
-        return [n for n in names if fs.exists(path(f"{self.path}/{self.collection}/{n}/_SUCCESS"))]
+        return [n for n in names if n.startswith("v-") and fs.exists(path(f"{self.path}/{self.collection}/{n}/_SUCCESS"))]
+
+    def _listed(self, version: str) -> list[tuple[str, int]]:
+        """Folder and rows of the base and of each change."""
+        rows = self.spark.read.schema("at int, part string, n bigint").json(f"{self.path}/{self.collection}/{version}").orderBy("at").collect()
+        return [(r.part, r.n) for r in rows]
+
+    def _part(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{self.collection}/parts/{name}")
+
+    def _newest(self, parts: list[tuple[str, int]]) -> DataFrame:
+        """Of every id the last that some changes say."""
+        found = None
+        for at, (name, _) in enumerate(parts):
+            one = self._part(name).withColumn("_dw_at", F.lit(at))
+            found = one if found is None else found.unionByName(one, allowMissingColumns=True)
+        rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("_dw_at").desc()))
+        return found.withColumn("_dw_rank", rank).where("_dw_rank = 1").drop("_dw_rank", "_dw_at")
+
+    def _merged(self, parts: list[tuple[str, int]]) -> DataFrame:
+        base = self._part(parts[0][0])
+        if len(parts) > 1:
+            newest = self._newest(parts[1:])
+            base = base.join(newest.select("id"), "id", "left_anti").unionByName(newest, allowMissingColumns=True)
+        return base.where("not _dw_gone").drop("_dw_gone")
 
     def read(self) -> DataFrame | None:
         versions = self._versions()
-        return self.spark.read.parquet(f"{self.path}/{self.collection}/{versions[-1]}") if versions else None
-
-    def _write(self, rows: DataFrame) -> None:
-        old = self._versions()
+        return self._merged(self._listed(versions[-1])) if versions else None
+
+    def _put(self, rows: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/{self.collection}/parts/{name}")
+        return name
+
+    def _commit(self, old: list[str], parts: list[tuple[str, int]]) -> None:
+        gone = F.lit(False).alias("_dw_gone")
+        changed = sum(n for _, n in parts[1:])
+        if len(parts) > 1 and 2 * changed > parts[0][1]:
+            name = self._put(self._merged(parts).select("*", gone))
+            parts = [(name, self._part(name).count())]
+        elif len(parts) > self.MOST:
+            name = self._put(self._newest(parts[1:]))
+            parts = [parts[0], (name, self._part(name).count())]
         number = int(old[-1].split("-")[1]) + 1 if old else 1
-        rows.write.parquet(f"{self.path}/{self.collection}/v-{number:08d}-{uuid.uuid4().hex[:8]}")
+        version = f"v-{number:08d}-{uuid.uuid4().hex[:8]}"
+        listed = self.spark.createDataFrame([(i, *p) for i, p in enumerate(parts)], "at int, part string, n bigint")
+        listed.coalesce(1).write.json(f"{self.path}/{self.collection}/{version}")
         fs, path = self._fs()
+        kept = {n for n, _ in parts} | {n for n, _ in (self._listed(old[-1]) if old else ())}
+        home = f"{self.path}/{self.collection}"
         for n in old[:-1]:  # the one before stays for those who read it
-            fs.delete(path(f"{self.path}/{self.collection}/{n}"), True)
+            for name, _ in self._listed(n):
+                if name not in kept:
+                    fs.delete(path(f"{home}/parts/{name}"), True)
+            fs.delete(path(f"{home}/{n}"), True)
 
     def upsert(self, records: DataFrame) -> int:
-        """Records by id in place of those that are there; of equal ids in ``records`` one stays."""
-        new = records.where("id is not null").dropDuplicates(["id"])
-        old = self.read()
-        if old is not None:
-            keep = [c for c in old.columns if c in new.columns]
-            new = old.join(new.select("id"), "id", "left_anti").select(keep).unionByName(new.select(keep))
-        count = records.count()
+        """Records by id in place of those that are there; the number of ``records``, which are read once. Null ids are counted but not kept; of equal ids in ``records`` the one of the least hash of its columns stays, whatever their order."""
+        seen = Observation()
+        new = records.drop("_dw_gone").observe(seen, F.count(F.lit(1)).alias("n")).where("id is not null")
+        rank = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64(*new.columns)))
+        new = new.withColumn("_dw_rank", rank).where("_dw_rank = 1").drop("_dw_rank")
+        name = self._put(new.select("*", F.lit(False).alias("_dw_gone")))
+        count = seen.get.get("n", 0)
         if count:
-            self._write(new)
+            old = self._versions()
+            self._commit(old, [*(self._listed(old[-1]) if old else ()), (name, self._part(name).count())])
         return count
 
     def delete(self, ids: list[str]) -> int:
         """Number of ids given, whether there or not."""
-        old = self.read()
-        if old is not None and ids:
-            gone = self.spark.createDataFrame([(i,) for i in ids], "id string")
-            self._write(old.join(gone, "id", "left_anti"))
+        old = self._versions()
+        if old and ids:
+            gone = self.spark.createDataFrame([(i,) for i in sorted(set(ids))], "id string")
+            self._commit(old, [*self._listed(old[-1]), (self._put(gone.withColumn("_dw_gone", F.lit(True))), len(set(ids)))])
         return len(ids)
 
+    def delete_where(self, ids: DataFrame) -> None:
+        """Take away all ids of a table (``id``), however many."""
+        old = self._versions()
+        if old:
+            name = self._put(ids.select("id").where("id is not null").distinct().withColumn("_dw_gone", F.lit(True)))
+            self._commit(old, [*self._listed(old[-1]), (name, self._part(name).count())])
+
     def count(self) -> int:
         rows = self.read()
         return rows.count() if rows is not None else 0

@@ -6,6 +6,7 @@ Every query reads whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from docweft.config import Chunking, Config
 from docweft.functions import text as T
-from docweft.functions.lineage import spread
+from docweft.functions.lineage import shared_folder, spread
 from docweft.operators import chunk, clean, embed, export, generate, hierarchy, validate, vectors
 from docweft.plans import pipelines
 from docweft.sources import elements, files, html, tabular
@@ -116,10 +117,34 @@ def vector_upsert_latest(spark, sf):
     return vectors.latest(e, "user_id", "ts").select("user_id", F.col("a_event_id").alias("event_id"), "event_type")
 
 
-@query("SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
-def vector_delete_anti(spark, sf):
-    gone = _read(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("vec_id"))
-    return _read(spark, sf, "embeddings").join(gone, "vec_id", "left_anti").select("vec_id", "label")
+_RECORDS = "WITH r AS (SELECT vec_id::VARCHAR AS id, CASE WHEN label % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL))"
+
+
+def _stored(spark, sf) -> vectors.Store:
+    """All vectors put into a store of their own, a third of them put there again with another label, those of toxic documents taken away."""
+    v = _read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "label", "embedding")
+    s = vectors.Store(spark, f"{shared_folder(v)}/store-{uuid.uuid4().hex}", "vectors")
+    s.upsert(v)
+    s.upsert(v.where("label % 3 = 0").withColumn("label", F.col("label") + 100))
+    s.delete_where(_read(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("id")))
+    return s
+
+
+@query(_RECORDS + " SELECT id, label FROM r")
+def store_upsert_delete(spark, sf):
+    return _stored(spark, sf).read().select("id", "label")
+
+
+@query(_RECORDS + " SELECT count(*) AS n, 'vectors' AS collections FROM r")
+def store_count(spark, sf):
+    s = _stored(spark, sf)
+    return spark.createDataFrame([(s.count(), ",".join(s.list_collections()))], "n bigint, collections string")
+
+
+@query(_RECORDS + f""", q AS (SELECT embedding AS e FROM embeddings ORDER BY vec_id LIMIT 1), v AS (SELECT id, r.label, {SCORE.format(a="embedding", b="q.e")} AS score FROM r JOIN embeddings ON vec_id::VARCHAR = id, q)
+SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM v ORDER BY rank LIMIT 5""")
+def store_search(spark, sf):
+    return _stored(spark, sf).search(_first_vector(_read(spark, sf, "embeddings")), 5).select("id", "label", "score", *_big("rank"))
 
 
 @query("SELECT label AS collection, count(*) AS total_chunks FROM embeddings GROUP BY label")
