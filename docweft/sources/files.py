@@ -54,11 +54,14 @@ def parse(files: DataFrame, parser: str = "auto") -> tuple[DataFrame, DataFrame]
     plain = elements.parse_txt(text.where("ext = 'txt'"))
     marked = elements.parse_markdown(text.where("ext in ('md', 'markdown')"))
     pages = html.parse_html(text.where("ext in ('html', 'htm')"), "doc_id", "text")
-    binary = office.parse_binary(docs.where("ext in ('docx', 'xlsx', 'xlsm', 'csv', 'tsv', 'pdf')"))
+    binary = office.parse_binary(docs.where("ext in ('docx', 'xlsx', 'xlsm', 'csv', 'tsv')"))
+    lined = office.pdf_lines(docs.where("ext = 'pdf'"))
+    paged = office.pdf_elements(lined.where("error is null").drop("error"))
     good = binary.where("error is null").select(*elements.NAMES)
     unread = docs.where(~F.col("ext").isin(*NATIVE)).select("doc_id", F.lit("no parser for this format").alias("error"))
-    errors = binary.where("error is not null").select("doc_id", "error").unionByName(unread)
-    return plain.unionByName(marked).unionByName(pages).unionByName(good), errors.withColumnRenamed("doc_id", "path")
+    failed = lambda x: x.where("error is not null").select("doc_id", "error")
+    errors = failed(binary).unionByName(failed(lined)).unionByName(unread)
+    return plain.unionByName(marked).unionByName(pages).unionByName(good).unionByName(paged), errors.withColumnRenamed("doc_id", "path")
 
 
 _CHUNK = "id string, text string, metadata struct<id:string,document_id:string,filename:string,page_start:int,page_end:int,chapter:string,section:string,chunk_index:int,total_chunk:int,token_count:int,word_count:int,language:string,block_type:string>, validation struct<quality_score:int>"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-import importlib.util
 import io
 import re
 import zipfile
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from docweft.functions import text as T
 
-from . import elements, tabular
+from . import elements, pdf, tabular
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -130,11 +129,7 @@ def delimited(content: bytes, name: str, sep: str | None = None) -> list[dict]:
     return out
 
 
-def _pdf(content: bytes) -> list[dict]:
-    raise RuntimeError("no PDF library is installed")
-
-
-PARSERS = {"docx": docx, "xlsx": xlsx, "xlsm": xlsx, "pdf": _pdf}
+PARSERS = {"docx": docx, "xlsx": xlsx, "xlsm": xlsx}
 
 
 def parse_binary(files: DataFrame) -> DataFrame:
@@ -155,8 +150,20 @@ def parse_binary(files: DataFrame) -> DataFrame:
     return files.select("doc_id", "filename", "ext", "content").mapInPandas(run, elements.SCHEMA + ", error string")
 
 
-def pdf_available() -> bool:
-    return importlib.util.find_spec("fitz") is not None
+def pdf_lines(files: DataFrame) -> DataFrame:
+    """``doc_id, page, line, text, size, error`` of ``doc_id, content``: a row for each line of a PDF, an empty one for a page without text, one row with the error of a file that can't be read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for doc, content in zip(b["doc_id"], b["content"]):
+                try:
+                    rows = [(doc, *x, None) for x in pdf.lines(content)]
+                except Exception as e:  # as for other formats
+                    rows = [(doc, None, None, None, None, f"{type(e).__name__}: {e}")]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["doc_id", "page", "line", "text", "size", "error"]).astype({"page": "Int32", "line": "Int32"})
+
+    return files.select("doc_id", "content").mapInPandas(run, "doc_id string, page int, line int, text string, size double, error string")
 
 
 def pdf_elements(spans: DataFrame) -> DataFrame:
