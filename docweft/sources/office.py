@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 import io
 import re
 import zipfile
@@ -111,12 +110,13 @@ def xlsx(content: bytes) -> list[dict]:
 
 def delimited(content: bytes, name: str, sep: str | None = None) -> list[dict]:
     """A CSV file as batches of rows; see ``tabular`` for tables that are too large for one task."""
-    first, encoding = tabular.probe(content[:65536])
-    data = list(csv.reader(io.StringIO(content.decode(encoding, "replace")), delimiter=sep or first))
-    out = [_element("heading", PurePosixPath(name).stem, 1)]
+    data = tabular.read_rows(content.decode(tabular.encoding(content), "replace"), sep)
     if not data:
-        return out
-    header, rows = data[0], [r + [""] * (len(data[0]) - len(r)) for r in data[1:] if r]
+        raise ValueError("no columns")
+    if len(data) == 1:
+        return []
+    out = [_element("heading", PurePosixPath(name).stem, 1)]
+    header, rows = data[0], [["" if v in tabular.EMPTY else v for v in r] for r in data[1:]]
     sample = rows[: tabular.SAMPLE_ROWS]
     width = sum(sum(len(c) + 3 for c in header) + sum(len(v) + 3 for v in r[: len(header)]) for r in sample) / len(sample) if sample else 1
     size = min(max(1, int(tabular.BATCH_CHARS / width)), tabular.MOST, tabular.HARD_MOST)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
+import csv
+import io
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,24 +17,57 @@ DELIMITERS = (",", ";", "\t", "|")
 ENCODINGS = ("utf-8", "utf-8-sig", "latin-1", "cp1252")
 
 
-def probe(head: bytes) -> tuple[str, str]:
-    """Delimiter and encoding for the first line of a file.
+#: What reads as an empty cell.
+EMPTY = frozenset(["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"])
 
-    The comma wins unless the header itself holds one within a single column, so other delimiters are rarely chosen;
-    that is how files have been read so far, and they keep their reading.
-    """
-    encoding = next((e for e in ENCODINGS if _decodes(head, e)), "latin-1")
-    return ",", encoding
+
+def encoding(head: bytes) -> str:
+    """The first encoding that the beginning of a file fits, which may end within a character."""
+    return next((e for e in ENCODINGS if _decodes(head, e)), "latin-1")
 
 
-def _decodes(head: bytes, encoding: str) -> bool:
+def _decodes(head: bytes, name: str) -> bool:
     try:
-        head.decode(encoding)
+        codecs.getincrementaldecoder(name)().decode(head)
     except UnicodeDecodeError:
         return False
     return True
 
 
+def read_rows(text: str, sep: str | None = None) -> list[list[str]]:
+    """Header and rows of a delimited text, by the first delimiter under which no row is wider than the header and the first row.
+
+    A comma that never comes makes a table of one column. Under a header of several columns, a first row that is wider has columns
+    without a name in front, which are dropped. Rows are filled up to the header; blank lines don't count. Columns without a name
+    are numbered, those of one name told apart.
+    """
+    text = text.removeprefix("\ufeff")
+    for d in (sep,) if sep else DELIMITERS:
+        rows = [r for r in csv.reader(io.StringIO(text), delimiter=d) if r]
+        if not rows:
+            return []
+        wide = max(map(len, rows[:2])) if len(rows[0]) > 1 else 1
+        if all(len(r) <= wide for r in rows):
+            break
+    else:
+        try:
+            guess = csv.Sniffer().sniff(text[:65536]).delimiter if not sep else sep
+        except csv.Error as e:
+            raise ValueError(f"no delimiter fits: {e}") from None
+        rows = [r for r in csv.reader(io.StringIO(text), delimiter=guess) if r]
+        wide = max(map(len, rows[:2]))
+        if any(len(r) > wide for r in rows):
+            raise ValueError(f"a row has more than {wide} columns")
+    names: list[str] = []
+    seen: dict[str, int] = {}
+    for i, c in enumerate(rows[0]):
+        c = c or f"Unnamed: {i}"
+        n = seen[c] = seen.get(c, -1) + 1
+        names.append(f"{c}.{n}" if n else c)
+    extra = wide - len(names)
+    return [names, *([*r[extra:], *[""] * (wide - len(r))] for r in rows[1:])]
+
+
 def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8") -> DataFrame:
     """All columns as text, ``_pos`` the rows' order within the file."""
     return spark.read.csv(path, header=True, inferSchema=False, sep=sep, encoding=encoding).withColumn("_pos", F.monotonically_increasing_id())

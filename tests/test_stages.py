@@ -104,7 +104,22 @@ def test_office_and_delimited():
     assert [(e["type"], e["level"]) for e in office.docx(d)] == [("heading", 2), ("paragraph", None), ("numbered_list", None), ("table", None)]
     got = office.delimited(b"nama,umur\nAni,3\nBudi,\n", "orang.csv")
     assert [e["content"] for e in got] == ["orang", "Batch 1: baris 1-2 dari 2", "nama: Ani | umur: 3\nnama: Budi"]
-    assert tabular.probe(b"a,b\n1,2\n")[0] == ","
+    assert office.delimited(b"a,b\n", "h.csv") == []
+    with pytest.raises(ValueError):
+        office.delimited(b"", "e.csv")
+    assert [e["content"] for e in office.delimited("stadt;preis\nKöln;1,5\nBonn;NA\n".encode("latin-1"), "p.csv")][2] == "stadt: Köln | preis: 1,5\nstadt: Bonn"
+
+
+@pytest.mark.parametrize("text,want", [
+    ("a,b\n1,2\n", [["a", "b"], ["1", "2"]]), ("a;b\n1;2\n", [["a;b"], ["1;2"]]), ("a;b\n1;2\n3,5;4,5\n", [["a", "b"], ["1", "2"], ["3,5", "4,5"]]), ("a;b\n1,5;2,5\n3;4\n", [["a", "b"], ["1,5", "2,5"], ["3", "4"]]),
+    ("\ufeffa,a,\n1,2,3\n\n4\n", [["a", "a.1", "Unnamed: 2"], ["1", "2", "3"], ["4", "", ""]]), ("a,b\nx,1,2\ny,3,4\n", [["a", "b"], ["1", "2"], ["3", "4"]]), ("a\n1\n", [["a"], ["1"]]), ('a,b\n"x,\ny",2\n', [["a", "b"], ["x,\ny", "2"]]),
+])
+def test_delimiters(text, want):
+    assert tabular.read_rows(text) == want
+
+
+def test_encoding_of_a_head_that_ends_within_a_character():
+    assert tabular.encoding("é".encode() * 10 + b"\xc3") == "utf-8" and tabular.encoding(b"caf\xe9,") == "latin-1"
 
 
 def test_pdf_spans(spark):
