@@ -20,6 +20,8 @@ from . import _common as C
 
 #: Characters of items that one pass over the texts searches; a larger benchmark takes several passes.
 ITEM_CHARS = 8_000_000
+#: Characters of the pairs that are aligned together.
+CELLS = 1 << 21
 _CODE: list[np.ndarray] = []
 _OUT = "doc_id bigint, item_id bigint, edits int, max_edits int"
 
@@ -133,28 +135,37 @@ class Index:
                 out[c] = 0
             else:
                 rest.append(c)
-        if rest:
-            k = np.array(rest)
-            w, height = int(width[k].max()) + 1, int(m[k].max())
-            xs = np.full((len(k), height), 1 << 30, np.int64)
-            ys = np.full((len(k), height + w), 1 << 31, np.int64)
-            for r, c in enumerate(rest):
-                xs[r, : m[c]] = self.codes[item[c]]
-                lo, hi = max(int(offsets[row[c]]), int(start[c])), min(int(offsets[row[c] + 1]), int(start[c] + width[c] + m[c]))
-                ys[r, lo - start[c] : hi - start[c]] = cp[lo:hi]
-            cols = np.arange(w)
-            outside = cols[None, :] > width[k][:, None]
-            d = np.where(outside, 1 << 20, 0)
-            for i in range(height):
-                new = d + (xs[:, i : i + 1] != ys[:, i : i + w])
-                new[:, :-1] = np.minimum(new[:, :-1], d[:, 1:] + 1)
-                new = np.minimum.accumulate(new - cols, axis=1) + cols
-                d = np.where(outside, 1 << 20, new)
-                ends = m[k] == i + 1
-                if ends.any():
-                    out[k[ends]] = d[ends].min(axis=1)
+        rest.sort(key=lambda c: (int(m[c]), int(width[c])))
+        while rest:  # items of like length together, as many as CELLS holds; the longest stand alone
+            n = 1
+            while n < len(rest) and (n + 1) * int(m[rest[n]] + width[rest[n]]) <= CELLS:
+                n += 1
+            self._banded(cp, offsets, row, item, start, np.array(rest[:n]), out)
+            rest = rest[n:]
         return out
 
+    def _banded(self, cp: np.ndarray, offsets: np.ndarray, row: np.ndarray, item: np.ndarray, start: np.ndarray, k: np.ndarray, out: np.ndarray) -> None:
+        """``align`` of the pairs ``k`` by one band each, a step for all of them."""
+        m, width = self.m[item[k]], 2 * (self.e[item[k]] + 1)
+        w, height = int(width.max()) + 1, int(m.max())
+        xs = np.full((len(k), height), 1 << 30, np.int32)
+        ys = np.full((len(k), height + w), -1, np.int32)
+        for r, c in enumerate(k.tolist()):
+            xs[r, : m[r]] = self.codes[item[c]]
+            lo, hi = max(int(offsets[row[c]]), int(start[c])), min(int(offsets[row[c] + 1]), int(start[c] + width[r] + m[r]))
+            ys[r, lo - start[c] : hi - start[c]] = cp[lo:hi]
+        cols = np.arange(w)
+        outside = cols[None, :] > width[:, None]
+        d = np.where(outside, 1 << 20, 0)
+        for i in range(height):
+            new = d + (xs[:, i : i + 1] != ys[:, i : i + w])
+            new[:, :-1] = np.minimum(new[:, :-1], d[:, 1:] + 1)
+            new = np.minimum.accumulate(new - cols, axis=1) + cols
+            d = np.where(outside, 1 << 20, new)
+            ends = m == i + 1
+            if ends.any():
+                out[k[ends]] = d[ends].min(axis=1)
+
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate: float = 0.05) -> DataFrame:
     """``doc_id, item_id, edits, max_edits`` of every document that holds a benchmark item.
