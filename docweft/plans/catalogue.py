@@ -361,10 +361,35 @@ def repeated_headings(spark, sf):
     return clean.repeated_headings(e).select(F.col("doc_id").alias("source"), F.col("ord").alias("doc_id"))
 
 
-@query()
+_NFC = r"regexp_replace(nfc_normalize(content), '[\x00-\x08\x0b-\x1f\x7f-\x{9f}]', '', 'g')"
+_TIDY = reduce(lambda x, c: f"regexp_replace({x}, '{c}{{7,}}', '{c}', 'g')", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", f"translate(replace({_NFC}, chr(65533), ''), chr(9633)||chr(9744), '  ')")
+_PAGE_LINE = r"regexp_full_match(trim({x}), '[-–—\s]*\d+[-–—\s]*|(?i:(?:halaman|hal\.?|page)\s+\d+\s*(?:dari|of)\s*\d+)') AND NOT regexp_matches(trim({x}), '^\d+[.)]\s+\S')"
+_CLEAN = _TXT + rf""", za AS (SELECT *, {_TIDY} AS x FROM e),
+zp AS (SELECT doc_id, ord, type, CASE WHEN type = 'paragraph' AND len(list_filter(string_split(x, chr(10)), lambda l: {_PAGE_LINE.format(x="l")})) > 0
+  THEN array_to_string(list_filter(string_split(x, chr(10)), lambda l: NOT ({_PAGE_LINE.format(x="l")})), chr(10)) ELSE x END AS x FROM za),
+zm AS (SELECT doc_id, ord, type, {STRIP.format(x="regexp_replace(x, '\\b(?:halaman|hal\\.?|page)\\s+\\d+\\s*(?:dari|of)\\s*\\d+\\b', '', 'gi')")} AS x FROM zp),
+zn AS (SELECT *, CASE WHEN type = 'heading' THEN lower(regexp_replace(x, '\s+', ' ', 'g')) END AS norm FROM zm WHERE x <> ''),
+zh AS (SELECT *, count(*) OVER (PARTITION BY doc_id, norm) AS times, row_number() OVER (PARTITION BY doc_id, norm ORDER BY ord) AS rn FROM zn),
+zc AS (SELECT doc_id, ord, type, regexp_replace(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '(?:[ \t]*\n){{3,}}', chr(10)||chr(10), 'g'), '^\n+|\n+$', '', 'g') AS x FROM zh WHERE norm IS NULL OR times < 3 OR rn = 1)
+"""
+
+
+@query(_CLEAN + "SELECT doc_id, ord, type, md5(CASE WHEN type LIKE '%list' THEN '' ELSE x END) AS digest FROM zc")
 def cleaned_elements(spark, sf):
     e = clean.clean(_txt(spark, sf))
-    return e.select(F.col("doc_id").cast("bigint").alias("doc_id"), "ord", "type", F.md5("content").alias("digest"))
+    return e.select(F.col("doc_id").cast("bigint").alias("doc_id"), *_big("ord"), "type", F.md5("content").alias("digest"))
+
+
+@query(rf"""
+WITH b AS ({_boiler(True).strip()}),
+k AS (SELECT d.source, doc_id, text, {STRIP.format(x="array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT list_contains(ls, " + STRIP.format(x="l") + ")), chr(10))")} AS kept FROM documents d JOIN (SELECT source, list(line) AS ls FROM b GROUP BY source) USING (source)
+  UNION ALL SELECT source, doc_id, text, text FROM documents WHERE source NOT IN (SELECT source FROM b))
+SELECT source, doc_id, md5(kept) AS digest FROM k WHERE {STRIP.format(x="kept")} <> ''
+""")
+def cleaned_pages(spark, sf):
+    """Documents as the pages of their source, without the lines that head many of them."""
+    e = clean.repeated_lines(_source_pages(spark, sf), True, 0.02).where("type = 'paragraph'")
+    return e.select(F.col("doc_id").alias("source"), (F.col("ord") / 2).cast("bigint").alias("doc_id"), F.md5("content").alias("digest"))
 
 
 # Hierarchy.
@@ -416,10 +441,13 @@ def semantic_blocks(spark, sf):
     return b.select(F.col("doc_id").cast("bigint").alias("doc_id"), *_big("block"), "block_type", "title", F.size("elements").cast("bigint").alias("n_elements"))
 
 
-@query()
+@query(_BLOCK + """, zr AS (SELECT doc_id, k, ord, type, CASE type WHEN 'bullet_list' THEN array_to_string(list_transform(string_split(content, chr(10)), lambda x: '- '||x), chr(10))
+  WHEN 'numbered_list' THEN array_to_string(list_transform(string_split(content, chr(10)), lambda x, i: i||'. '||x), chr(10)) ELSE content END AS x FROM h)
+SELECT doc_id, coalesce(k, ord) AS block, md5(array_to_string(list_filter([coalesce(max(CASE WHEN type = 'heading' THEN x END), ''), coalesce(string_agg(x, chr(10) ORDER BY ord) FILTER (WHERE type <> 'heading' AND x <> ''), '')], lambda v: v <> ''), chr(10))) AS digest FROM zr GROUP BY doc_id, coalesce(k, ord)
+""")
 def block_texts(spark, sf):
     b = hierarchy.blocks(_txt(spark, sf))
-    return b.select(F.col("doc_id").cast("bigint").alias("doc_id"), "block", F.md5(hierarchy.block_text()).alias("digest"))
+    return b.select(F.col("doc_id").cast("bigint").alias("doc_id"), *_big("block"), F.md5(hierarchy.block_text()).alias("digest"))
 
 
 # Chunks.
