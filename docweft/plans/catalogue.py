@@ -6,7 +6,9 @@ Every query reads whole tables.
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 from collections.abc import Callable
 from functools import reduce
 
@@ -320,6 +322,56 @@ def html_elements(spark, sf):
     return html.parse_html(_read(spark, sf, "pages")).select(F.col("doc_id").cast("bigint").alias("page_id"), "ord", "type", "level", F.md5(F.concat_ws("\n", "content", F.array_join("items", "\n"))).alias("digest"))
 
 
+# Files, put together from regions and their nations.
+
+
+def _zipped(parts: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for k, v in parts.items():
+            z.writestr(k, v)
+    return out.getvalue()
+
+
+def _file(ext: str, title: str, names: list[str]) -> bytes:
+    if ext == "csv":
+        return ("key,name\n" + "".join(f'{i},"{n}"\n' for i, n in enumerate(names))).encode()
+    if ext == "pdf":
+        show = lambda size, text, dy: f"BT /F1 {size} Tf 72 {dy} Td ({text}) Tj ET\n"
+        body = (show(24, title, 700) + "".join(show(10, n, 660 - 12 * i) for i, n in enumerate(names)) + show(10, "- 1 -", 40)).encode()
+        objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", b"<< /Type /Page /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> >> >>", b"<< /Length %d >> stream\n%s\nendstream" % (len(body), body), b"<< /Type /Font /Subtype /Type1 >>"]
+        return b"%PDF-1.4\n" + b"".join(b"%d 0 obj %s endobj\n" % (i + 1, x) for i, x in enumerate(objects))
+    if ext == "docx":
+        w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+        one = lambda style, text: f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>'
+        return _zipped({"word/document.xml": f'<w:document xmlns:w="{w}"><w:body>{one("Heading1", title)}{"".join(one("Normal", n) for n in names)}</w:body></w:document>'})
+    m, r = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    rows = "".join(f'<row><c r="A{i + 1}"><v>{i}</v></c><c r="B{i + 1}" t="inlineStr"><is><t>{n}</t></is></c></row>' for i, n in enumerate(names))
+    return _zipped({"xl/workbook.xml": f'<workbook xmlns="{m}" xmlns:r="{r}"><sheets><sheet name="{title}" r:id="i1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="i1" Target="worksheets/s.xml"/></Relationships>', "xl/worksheets/s.xml": f'<worksheet xmlns="{m}"><sheetData>{rows}</sheetData></worksheet>'})
+
+
+_FILES = """
+WITH n AS (SELECT trim(r_name) AS r, trim(n_name) AS n, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1 AS i, count(*) OVER (PARTITION BY r_name) AS total FROM nation JOIN region ON n_regionkey = r_regionkey),
+g AS (SELECT r, any_value(total) AS total, string_agg(n, chr(10) ORDER BY i) AS names, string_agg('key: '||i||' | name: '||n, chr(10) ORDER BY i) AS lines, string_agg(i||','||n, ';' ORDER BY i) AS cells FROM n GROUP BY r)
+"""
+
+
+@query(_FILES + """
+SELECT r||'.csv' AS file, 0 AS ord, 'heading' AS type, r AS shown FROM g UNION ALL SELECT r||'.csv', 1, 'heading', 'Batch 1: baris 1-'||total||' dari '||total FROM g UNION ALL SELECT r||'.csv', 2, 'paragraph', lines FROM g
+UNION ALL SELECT r||'.pdf', 0, 'heading', r FROM g UNION ALL SELECT r||'.pdf', 1, 'paragraph', names FROM g UNION ALL SELECT r||'.pdf', 2, 'page_break', '' FROM g
+UNION ALL SELECT r||'.docx', 0, 'heading', r FROM g UNION ALL SELECT r||'.docx', i + 1, 'paragraph', n FROM n
+UNION ALL SELECT r||'.xlsx', 0, 'heading', r FROM g UNION ALL SELECT r||'.xlsx', 1, 'table', cells FROM g
+""")
+def file_elements(spark, sf):
+    n = _read(spark, sf, "nation").join(_read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    g = n.groupBy(F.trim("r_name").alias("title")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", F.trim("n_name").alias("n")))), lambda x: x["n"]).alias("names"))
+    make = F.udf(_file, "binary", useArrow=False)
+    made = g.withColumn("ext", F.explode(F.array(*map(F.lit, ("csv", "pdf", "docx", "xlsx"))))).withColumn("path", F.concat("title", F.lit("."), "ext"))
+    e, _ = files.parse(made.select("path", F.col("path").alias("filename"), "ext", make("ext", "title", "names").alias("content")))
+    cells = F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), ";")
+    return e.select(F.col("doc_id").alias("file"), *_big("ord"), "type", F.coalesce(cells, "content").alias("shown"))
+
+
 # Cleaning.
 
 
