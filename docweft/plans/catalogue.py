@@ -536,17 +536,61 @@ def _processed(spark, sf) -> pipelines.Processed:
     return pipelines.process_texts(_read(spark, sf, "documents").select("doc_id", "text"))
 
 
-@query()
+_TOK = "trunc(len(" + WORDS + ") * 1.33::DOUBLE)::INT"
+# A text above the maximum: its lines, a line above it in pieces of as many words as the target has tokens, for a word counts as one.
+_FORCED = "flatten(list_transform(list_filter(list_transform(string_split({x}, chr(10)), lambda y: " + STRIP.format(x="y") + "), lambda y: y <> ''), lambda y: CASE WHEN " + _TOK.format(x="y") + " <= 700 THEN [y] ELSE list_transform(range(0, len(" + WORDS.format(x="y") + "), 500), lambda j: array_to_string(" + WORDS.format(x="y") + "[j + 1 : j + 500], ' ')) END))"
+_CHUNKS = _CLEAN + rf""", q AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS ord, type, x FROM zc),
+v AS (SELECT *, max(CASE WHEN type = 'heading' THEN ord END) OVER (PARTITION BY doc_id ORDER BY ord) AS at FROM q),
+w AS (SELECT v.*, coalesce(t.x, '') AS section, CASE WHEN v.at IS NOT NULL THEN 'heading' ELSE v.type END AS block_type, {SENTENCES.format(x="v.x")} AS xs FROM v LEFT JOIN q t ON t.doc_id = v.doc_id AND t.ord = v.at),
+us AS (SELECT *, CASE WHEN type = 'heading' OR type LIKE '%list' THEN [x] WHEN len(xs) <= 1 THEN CASE WHEN {_TOK.format(x="x")} > 700 THEN {_FORCED.format(x="x")} ELSE [x] END
+  ELSE flatten(list_transform(xs, lambda s: CASE WHEN {_TOK.format(x="s")} > 700 THEN {_FORCED.format(x="s")} ELSE [s] END)) END AS texts FROM w),
+u AS (SELECT doc_id, section, block_type, type = 'heading' AS head, type = 'heading' OR type LIKE '%list' AS atom, ord, generate_subscripts(texts, 1) AS k, unnest(texts) AS x FROM us),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord, k) AS i, {_TOK.format(x="x")} AS n FROM u),
+d AS (SELECT doc_id, list(n ORDER BY i) AS ns, list(head ORDER BY i) AS hs, list(atom ORDER BY i) AS atoms FROM n GROUP BY doc_id),
+pack AS (SELECT doc_id, 0 AS i, []::INT[] AS cur, 0 AS total, []::INT[][] AS done FROM d
+  UNION ALL SELECT doc_id, i, CASE WHEN alone THEN [] ELSE start || [i] END, CASE WHEN alone THEN 0 ELSE coalesce(list_sum(list_transform(start, lambda j: ns[j])), 0) + ns[i] END::INT,
+    CASE WHEN alone AND len(cur) > 0 AND list_bool_and(list_transform(cur, lambda j: hs[j])) THEN done || [cur || [i]] WHEN alone AND len(cur) > 0 THEN done || [cur, [i]] WHEN alone THEN done || [[i]] WHEN closed OR full_ THEN done || [cur] ELSE done END
+  FROM (SELECT *, CASE WHEN full_ AND NOT closed THEN list_reverse(back[1 : coalesce(list_position(list_transform(range(1, len(back) + 1), lambda m: list_sum(list_transform(back[1:m], lambda j: ns[j])) >= 90), true), len(back))]) WHEN closed THEN []::INT[] ELSE cur END AS start
+    FROM (SELECT *, len(cur) > 0 AND hs[i] AND NOT alone AS closed, len(cur) > 0 AND NOT hs[i] AND NOT alone AND total + ns[i] > 700 AS full_,
+      list_reverse(list_filter(cur[coalesce(list_max(list_filter(cur, lambda j: atoms[j] AND NOT hs[j]).list_transform(lambda j: list_position(cur, j))), 0) + 1 :], lambda j: NOT hs[j])) AS back
+      FROM (SELECT p.doc_id, p.i + 1 AS i, cur, total, done, ns, hs, atoms, atoms[p.i + 1] AND ns[p.i + 1] >= 250 AS alone FROM pack p JOIN d USING (doc_id) WHERE p.i < len(ns))))),
+gg AS (SELECT doc_id, CASE WHEN len(cur) > 0 THEN done || [cur] ELSE done END AS gs, ns, hs FROM pack JOIN d USING (doc_id) WHERE i = len(ns)),
+merged AS (SELECT doc_id, 1 AS i, gs[1:1] AS out FROM gg
+  UNION ALL SELECT doc_id, m.i + 1, CASE WHEN list_sum(list_transform(out[-1], lambda j: ns[j])) < 250 AND list_sum(list_transform(out[-1], lambda j: ns[j])) + list_sum(list_transform(gs[m.i + 1], lambda j: ns[j])) <= 700 AND NOT hs[gs[m.i + 1][1]]
+    THEN out[: len(out) - 1] || [out[-1] || gs[m.i + 1]] ELSE out || [gs[m.i + 1]] END FROM merged m JOIN gg USING (doc_id) WHERE m.i < len(gs)),
+ch AS (SELECT doc_id, generate_subscripts(out, 1) - 1 AS c, len(out) AS total, unnest(out) AS us FROM merged JOIN gg USING (doc_id) WHERE i = len(gs)),
+tx AS (SELECT ch.doc_id, c, any_value(ch.total) AS total, first(n.section ORDER BY z.o) AS section, first(n.block_type ORDER BY z.o) AS block_type, string_agg(n.x, chr(10) ORDER BY z.o) AS body
+  FROM ch, LATERAL (SELECT unnest(us) AS i, generate_subscripts(us, 1) AS o) z JOIN n ON n.doc_id = ch.doc_id AND n.i = z.i GROUP BY ch.doc_id, c),
+sm AS (SELECT doc_id, left(string_agg(left(x, 500), chr(10) ORDER BY ord) FILTER (WHERE x <> ''), 500) AS text, '' AS lang FROM q GROUP BY doc_id),
+{_LANG.strip().removeprefix("WITH ").replace("FROM documents", "FROM sm").replace("w AS (", "lw AS (", 1).replace("FROM w)", "FROM lw)").replace(chr(10) + "b AS (", chr(10) + "lb AS (").replace("FROM b)", "FROM lb)").replace(chr(10) + "h AS (", chr(10) + "lh AS (").replace("FROM h)", "FROM lh)").replace(chr(10) + "d AS (", chr(10) + "ld AS (")},
+fin AS (SELECT tx.doc_id, c, total, section, block_type, CASE WHEN section <> '' THEN '['||section||']'||chr(10) ELSE '' END || body AS text, coalesce(detected, '') AS language FROM tx LEFT JOIN ld ON ld.doc_id = tx.doc_id)
+"""
+
+
+@query(_CHUNKS + f"SELECT 'doc_'||left(sha256(doc_id::VARCHAR), 16)||'_c'||printf('%04d', c) AS id, doc_id::VARCHAR AS doc_id, c AS chunk_index, total AS total_chunk, {_TOK.format(x='text')} AS token_count, len({WORDS.format(x='text')}) AS word_count, language, block_type, '' AS chapter, section, md5(text) AS digest FROM fin")
 def chunk_documents(spark, sf):
-    return _processed(spark, sf).chunks.select("id", "doc_id", "chunk_index", "total_chunk", "token_count", "word_count", "language", "block_type", "chapter", "section", F.md5("text").alias("digest"))
+    """The whole way from texts to chunks, at the defaults. The SQL takes headings as of the second level, which lines in capitals are."""
+    return _processed(spark, sf).chunks.select("id", "doc_id", *_big("chunk_index", "total_chunk"), "token_count", "word_count", "language", "block_type", "chapter", "section", F.md5("text").alias("digest"))
 
 
-@query()
+_QUALITY = _CHUNKS + rf""", kd AS (SELECT *, 'doc_'||left(sha256(doc_id::VARCHAR), 16)||'_c'||printf('%04d', c) AS id, {_TOK.format(x="text")} AS tok, list_filter(list_transform(string_split(text, chr(10)), lambda x: {STRIP.format(x="x")}), lambda x: x <> '') AS ls,
+  left(lower({STRIP.format(x="regexp_replace(text, '\\s+', ' ', 'g')")}), 500) AS sig FROM fin),
+kc AS (SELECT *, CASE WHEN tok > 700 THEN 'OVERSIZED' WHEN tok < 250 THEN 'UNDERSIZED' WHEN tok NOT BETWEEN 450 AND 550 THEN 'NON_IDEAL_SIZE' END AS c1,
+  CASE WHEN regexp_matches(ls[1], '^[a-z]') THEN 'POSSIBLE_TRUNC_START' END AS c2,
+  CASE WHEN regexp_matches(ls[-1], '[\pL\pN\pM_]$') AND left(ls[-1], 1) NOT IN ('#', '|', '-') THEN 'POSSIBLE_TRUNC_END' END AS c3,
+  CASE WHEN len(list_filter(ls[1:3], lambda x: regexp_full_match(x, '#[# ]*'))) > 0 THEN 'EMPTY_HEADING' END AS c4, 'INCOMPLETE_METADATA' AS c5,
+  CASE WHEN row_number() OVER (PARTITION BY doc_id, sig ORDER BY c) = 2 THEN 'DUPLICATE' END AS c6 FROM kd),
+kf AS (SELECT id, doc_id, array_to_string(list_filter([c1, c2, c3, c4, c5, c6], lambda x: x IS NOT NULL), ',') AS codes,
+  greatest(0, 100 - CASE c1 WHEN 'OVERSIZED' THEN 15 WHEN 'UNDERSIZED' THEN 8 WHEN 'NON_IDEAL_SIZE' THEN 3 ELSE 0 END - 10 * (c2 IS NOT NULL)::INT - 10 * (c3 IS NOT NULL)::INT - 20 * (c4 IS NOT NULL)::INT - 5 - 12 * (c6 IS NOT NULL)::INT)::BIGINT AS score FROM kc)
+"""
+
+
+@query(_QUALITY + "SELECT id AS chunk_id, score AS quality_score, codes FROM kf")
 def chunk_quality(spark, sf):
-    return _processed(spark, sf).validations.select("chunk_id", "quality_score", F.array_join(F.transform("findings", lambda f: f["code"]), ",").alias("codes"))
+    return _processed(spark, sf).validations.select("chunk_id", *_big("quality_score"), F.array_join(F.transform("findings", lambda f: f["code"]), ",").alias("codes"))
 
 
-@query()
+@query(_QUALITY + "SELECT count(DISTINCT doc_id) AS documents, count(*) AS chunks, round(avg(score), 4) AS mean_score, 0::BIGINT AS failed FROM kf")
 def pipeline_summary(spark, sf):
     return _processed(spark, sf).summary()
 
@@ -707,8 +751,14 @@ def export_markdown_rows(spark, sf):
 # The whole way: documents to chunks to vectors to answers.
 
 
-@query()
+_FOUND = _QUALITY + ", " + _EMBED.format(n="x", k="id", t="kd", words=WORDS.format(x="text")).strip() + ", " + _ITEMS.strip() + """,
+xs AS (SELECT qv.k AS query_id, xv.k AS id, round((1 + sum(qv.x * xv.x)) / 2, 6) AS score FROM qv JOIN xv ON qv.b = xv.b GROUP BY 1, 2),
+xh AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM xs QUALIFY rank <= 5)
+"""
+
+
+@query(_FOUND + "SELECT query_id, rank, xh.id, score, left(xh.id, 20) AS document_id, tok AS token_count FROM xh JOIN kd USING (id) WHERE score >= 0.3")
 def retrieve_chunks(spark, sf):
-    records = pipelines.embedded(_processed(spark, sf).chunks)
+    records = pipelines.embedded(_processed(spark, sf).chunks, keep=True)
     q = _read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    return pipelines.retrieve(records, q, Config()).select("query_id", "rank", "id", "score", "document_id", "token_count")
+    return pipelines.retrieve(records, q, Config()).select("query_id", *_big("rank"), "id", "score", "document_id", "token_count")

@@ -65,9 +65,9 @@ def run(spark: SparkSession, path: str, cfg: Config = Config()) -> tuple[Process
     return done, export.write(done.chunks, done.validations, cfg.export)
 
 
-def embedded(chunks: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Flat records with their vectors."""
-    flat = vectors.flatten(chunks)
+def embedded(chunks: DataFrame, cfg: Config = Config(), keep: bool = False) -> DataFrame:
+    """Flat records with their vectors; ``keep`` writes the records first, for a search that isn't made of the store reads them twice."""
+    flat = cut(vectors.flatten(chunks)) if keep else vectors.flatten(chunks)
     return flat.withColumn("embedding", embed.get_embedder(cfg.embedding)(F.col("text")))
 
 
