@@ -77,6 +77,16 @@ def index(spark: SparkSession, source: str, cfg: Config = Config(), min_quality:
     return vectors.Store(spark, cfg.store.path, cfg.store.collection).upsert(embedded(chunks, cfg))
 
 
+def index_upload(spark: SparkSession, filename: str, content: bytes, cfg: Config = Config()) -> tuple[int, list[str]]:
+    """Chunks of one file's bytes into the store: the number put there, and what went wrong. The file is known by its name."""
+    ext = filename.rsplit(".", 1)[-1].lower() if "." in filename else ""
+    raw = spark.createDataFrame([(filename, filename, ext, bytearray(content))], "path string, filename string, ext string, content binary")
+    e, errors = files.parse(raw, cfg.parsing.parser)
+    done = from_elements(e, raw.select(F.col("path").alias("doc_id"), "filename"), cfg, ext == "pdf")
+    n = vectors.Store(spark, cfg.store.path, cfg.store.collection).upsert(embedded(done.chunks, cfg))
+    return n, [f"{r.path}: {r.error}" for r in errors.collect()]
+
+
 def stats(spark: SparkSession, cfg: Config = Config()) -> dict:
     store = vectors.Store(spark, cfg.store.path, cfg.store.collection)
     return {"collection": cfg.store.collection, "total_chunks": store.count(), "collections": store.list_collections(), "embedding_provider": cfg.embedding.provider, "embedding_model": cfg.embedding.model}

@@ -223,6 +223,20 @@ def test_sinks(spark, tmp_path):
         Config(export=Export(format="pdf"))
 
 
+def test_upload(spark, tmp_path):
+    cfg = Config(store=config.Store(path=str(tmp_path / "store")))
+    data = b'--b\r\nContent-Disposition: form-data; name="file"; filename="c/notes.txt"\r\nContent-Type: text/plain\r\n\r\nKucing tidur.\r\nDi rumah.\r\n--b\r\nContent-Disposition: form-data; name="min_quality"\r\n\r\n0\r\n--b--\r\n'
+    body = serve.form("multipart/form-data; boundary=b", data)
+    assert body == {"filename": "notes.txt", "content": b"Kucing tidur.\r\nDi rumah.", "min_quality": "0"} and serve.form("application/json", b"") == {}
+    status, out = serve.respond(spark, cfg, "/api/index", body)
+    assert status == 200 and out == {"total_indexed": 1, "sources_succeeded": 1, "sources_failed": 0, "errors": [], "filename": "notes.txt"}
+    assert vectors.Store(spark, cfg.store.path).read().first().filename == "notes.txt"
+    assert serve.respond(spark, cfg, "/api/index", {"filename": "x.exe", "content": b""})[0] == 415
+    status, out = serve.respond(spark, cfg, "/api/index", {"filename": "x.pdf", "content": b"no"})
+    assert status == 200 and out["total_indexed"] == 0 and out["sources_failed"] == 1
+    assert serve.respond(spark, cfg, "/", {})[0] == 200
+
+
 def test_store(spark, tmp_path):
     s = vectors.Store(spark, str(tmp_path), "c")
     rows_ = lambda *x: spark.createDataFrame(list(x), "id string, text string, document_id string, embedding array<double>")
