@@ -6,6 +6,7 @@ index ranges into it, and their 64-bit hashes come from a prefix polynomial over
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
 KEPT_POWERS = SLICE_BYTES + 1
 #: Ids that are sent to every executor; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
@@ -139,9 +141,30 @@ def strings(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return flat, offsets - offsets[0]
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
+
+
+def give_back() -> None:
+    """Return to the system what this process has freed."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of some MB: the setting's 64 MB are held several times over by the JVM and by each worker. A smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if not now or not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about ``size`` bytes of text; a longer text is a piece of its own."""
-    pa.default_memory_pool().release_unused()  # what earlier tasks of this worker left
+    give_back()
     for b in batches:
         if not b.num_rows:
             continue

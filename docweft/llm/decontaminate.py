@@ -175,6 +175,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, rate: float
     rows give one, with the fewest edits. Columns besides the ids and ``text`` are not read.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("doc_id is not null")
+    C.small_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = -(-total // ITEM_CHARS) or 1

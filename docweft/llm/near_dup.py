@@ -148,6 +148,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.6, n: int = 3, k: int
     ``doc_id`` and ``text`` are not read.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
+    C.small_batches(docs.sparkSession)
     least = threshold - slack
     seen = C.cut(sketches(docs, n, k).where("n > 0"))
     nodes = seen.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))

@@ -27,8 +27,8 @@ from . import _common as C
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SLICE = 2 << 20
-#: What the store may hold before all but the words of the last slice leave it. A worker stays some 200 MB larger than an idle one, and an executor has several.
-WORDS_KEPT = 100_000
+#: What the store may hold before all words leave it that came in one slice only. A worker stays some 200 MB larger than an idle one, and an executor has several.
+WORDS_KEPT = 150_000
 IDS_KEPT = 5 * WORDS_KEPT
 APART_KEPT = 200_000
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -97,12 +97,12 @@ class Model:
         self.raw_at = np.concatenate(([0], np.cumsum(self.raw_len)))[:-1]
         self.raw_all = np.frombuffer(b"".join(self.raw), np.uint8)
         self._apart: dict[int, bool] = {}
-        self._last: list[str] = []
         self.out: dict[int, tuple[int, ...]] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
+        self._again: set[str] = set()
         self.flat, self.start = array("i"), array("q", [0])
 
     def merges(self, s: str) -> list[str]:
@@ -201,7 +201,7 @@ class Model:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the texts' offsets in it."""
         if len(self.index) > WORDS_KEPT or len(self.flat) > IDS_KEPT:
-            self._keep(self._last)
+            self._keep()
         texts = pc.fill_null(texts, "")
         odd = pc.or_(pc.match_substring_regex(texts, f"  |^ | $|{MARK}"), pc.equal(texts, "")).to_numpy(zero_copy_only=False)
         if not self.prefix:
@@ -219,17 +219,20 @@ class Model:
         coded = flat.slice(lists[0], lists[-1] - lists[0]).dictionary_encode()
         lists = lists - lists[0]
         words = [mark + w for w in coded.dictionary.to_pylist()]
-        self.learn([w for w in words if w not in self.index])
-        at = np.array([self.index[w] for w in words], np.int64)
+        known = list(map(self.index.get, words))
+        new = [w for w, a in zip(words, known) if a is None]
+        self._again.update(w for w, a in zip(words, known) if a is not None)
+        self.learn(new)
+        at = np.array([self.index[w] if a is None else a for w, a in zip(words, known)], np.int64)
         code = at[coded.indices.to_numpy()] if len(at) else np.zeros(0, np.int64)
         start, ids = np.frombuffer(self.start, np.int64).copy(), np.frombuffer(self.flat, np.int32).copy()
         n = start[code + 1] - start[code]
         ends = np.concatenate(([0], np.cumsum(n)))
-        self._last = words
         return ids[np.repeat(start[code] - ends[:-1], n) + np.arange(ends[-1])], ends[lists]
 
-    def _keep(self, words: list[str]) -> None:
-        """Only ``words`` stay in the store, which are most likely to come again; none if even they are too many."""
+    def _keep(self) -> None:
+        """Only words that came again stay in the store; none if even they are too many."""
+        words = list(self._again)
         at = np.array([self.index[w] for w in words], np.int64)
         start, ids = np.frombuffer(self.start, np.int64), np.frombuffer(self.flat, np.int32)
         n = start[at + 1] - start[at]
@@ -237,7 +240,7 @@ class Model:
         kept = ids[np.repeat(start[at] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
         del start, ids  # else the arrays can't grow
         self._reset()
-        if len(words) <= WORDS_KEPT // 2 and ends[-1] <= IDS_KEPT // 2:
+        if len(words) <= WORDS_KEPT * 3 // 4 and ends[-1] <= IDS_KEPT * 3 // 4:
             self.index = dict(zip(words, range(len(words))))
             self.flat.frombytes(kept)
             self.start = array("q", ends.tolist())
@@ -292,6 +295,7 @@ def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=pa.array(null) if null.any() else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(offsets)), lists, pa.array(same, mask=null)], ["doc_id", "n_tokens", "ids", "round_trip"])
 
+    C.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>, round_trip boolean")
 
