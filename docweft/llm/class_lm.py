@@ -7,7 +7,8 @@ pass over their bigram counts: it sums each unit's counts with the classes on ei
 1/rate + ENDINGS rows of 2 * classes + 2 numbers however large the corpus. With them the driver moves one unit after the other
 to the class of the greatest gain in likelihood, and keeps the class bigrams up to date. Half the units have their turn in
 a round, for a unit's row doesn't see the moves of the others; the assignment of the greatest likelihood, which every
-round computes anew, is kept. All other words stand in these rounds by their ending.
+round computes anew, is kept. Rounds go on until two of them together gain less than LEAST a token, ROUNDS at most. All other words
+stand in these rounds by their ending.
 
 Then each of the others moves to its own best class: the counts of every such word with the classes on either side meet
 in one task, which takes the greatest gain. Their classes and counts are a table that is never collected; texts
@@ -18,12 +19,12 @@ from __future__ import annotations
 
 import pickle
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,10 @@ from . import _common as C
 
 ENDINGS = 1024
 MERGE = 24
+#: Bits of a unit's number in a pair.
+PAIR, _LOW = 32, (1 << 32) - 1
+#: Rounds at most, half the units' turns each, and the gain in log-likelihood a token from two of them under which no more follow.
+ROUNDS, LEAST = 16, 2e-3
 SLICE = 4 << 20
 #: Words whose gains are computed together.
 TOGETHER = 4096
@@ -44,6 +49,17 @@ def _words(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return C.span_hash(c, start, end), (C.span_hash(c, np.maximum(start, end - 3), end) % np.uint64(ENDINGS)).astype(np.int32), row
 
 
+def _words_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_words`` of a large batch, hashed a small slice at a time."""
+    parts, base = [_words(b.slice(0, 0))], 0
+    for x in C.slices(iter([b])):
+        h, ending, row = _words(x)
+        parts.append((h, ending, row + base))
+        base += x.num_rows
+    h, ending, row = (np.concatenate(x) for x in zip(*parts))
+    return h, ending, row
+
+
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     key, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
     return key, np.bincount(inverse, np.concatenate([n for _, n in parts])).astype(np.int64)
@@ -219,11 +235,15 @@ class Model:
         return np.bincount(row, p, minlength=rows).astype(float)  # without words numpy gives integers
 
 
+def _squeezed(x: tuple) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x))
+
+
 class _Slice:
     """Some texts as the units of their words; words that are no units are numbered by the slice's own list."""
 
     def __init__(self, blob: bytes, units: Units):
-        self.ids, self.sizes, unit, self.ending = pickle.loads(zlib.decompress(blob))
+        self.ids, self.sizes, unit, self.ending = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
         self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.unit, self.others = unit.astype(np.int64), len(units.hashes)
         self.at = np.flatnonzero(self.unit >= self.others)
@@ -246,12 +266,12 @@ def _sliced(docs: DataFrame, units: Units) -> DataFrame:
     def run(batches):
         u = shared.value
         for b in C.slices(batches, size=SLICE):
-            h, ending, row = _words(b)
+            h, ending, row = _words_of(b)
             unit = u.of(h, ending)
             at = np.flatnonzero(unit >= len(u.hashes))
             key, first, inverse = np.unique(h[at], return_index=True, return_inverse=True)
             unit[at] = len(u.hashes) + inverse
-            blob = zlib.compress(pickle.dumps((b.column("doc_id"), np.bincount(row, minlength=b.num_rows), unit.astype(np.int32), ending[at][first])), 1)
+            blob = _squeezed((b.column("doc_id"), np.bincount(row, minlength=b.num_rows), unit.astype(np.int32), ending[at][first]))
             rare = pa.ListArray.from_arrays(pa.array([0, len(key)], pa.int32()), pa.array(key.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), rare, pa.array([blob], pa.binary())], ["key", "rare", "blob"])
 
@@ -341,13 +361,13 @@ def _located(slices: DataFrame, model: Model) -> DataFrame:
         seen = np.flatnonzero(n)
         emit[seen] = np.log(n[seen] + 0.5) - m.norm[own[seen]]
         p = np.bincount(s.row, np.concatenate((m.emit[: s.others], emit))[s.unit], minlength=len(s.sizes)).astype(float)
-        return pa.table([pa.array([zlib.compress(pickle.dumps((s.ids, s.sizes, c.astype(np.uint16), p)), 1)], pa.binary())], ["blob"])
+        return pa.table([pa.array([_squeezed((s.ids, s.sizes, c.astype(np.uint16), p))], pa.binary())], ["blob"])
 
     return _answered(slices, model.tail, locate, "blob binary")
 
 
 def _steps(blob: bytes, start: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    ids, sizes, c, p = pickle.loads(zlib.decompress(blob))
+    ids, sizes, c, p = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
     c, row = c.astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
     return ids, sizes, row, c, _with_previous(c, row, start), p
 
@@ -369,6 +389,7 @@ def _walked(located: DataFrame, model: Model) -> DataFrame:
 def _fitted(docs: DataFrame, classes: int, rounds: int, rate: float) -> tuple[Model, DataFrame | None]:
     """The model, and the classes of the words of ``docs`` (``doc_id, text``) if some of them are no units."""
     spark, k = docs.sparkSession, classes
+    C.small_batches(spark)
     units, cls, counts, n, whole = _exchanged(docs.select("text").where("text is not null"), classes, rounds, rate)
     C.swept(spark)
     if whole:
@@ -399,12 +420,12 @@ def _fitted(docs: DataFrame, classes: int, rounds: int, rate: float) -> tuple[Mo
     return model, located
 
 
-def train(docs: DataFrame, classes: int = 48, rounds: int = 4, rate: float = 1e-5) -> Model:
-    """The model of all texts of ``docs``. Words under ``rate`` are settled after the rounds. Null and wordless texts add nothing; repeated rows count as often as they stand."""
+def train(docs: DataFrame, classes: int = 48, rounds: int = ROUNDS, rate: float = 1e-5) -> Model:
+    """The model of all texts of ``docs``. Words under ``rate`` are settled after the rounds. Of classes of equal gain the first is taken, a move without gain isn't. Null and wordless texts add nothing; repeated rows count as often as they stand."""
     return _fitted(docs.select(F.lit(None).cast("bigint").alias("doc_id"), F.col("text").cast("string")), classes, rounds, rate)[0]
 
 
-def perplexities(docs: DataFrame, classes: int = 48, rounds: int = 4, rate: float = 1e-5) -> DataFrame:
+def perplexities(docs: DataFrame, classes: int = 48, rounds: int = ROUNDS, rate: float = 1e-5) -> DataFrame:
     """``scored`` of ``docs`` by the model of their own texts, whose words are looked up only once."""
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     model, located = _fitted(docs, classes, rounds, rate)
@@ -438,18 +459,20 @@ def _exchanged(texts: DataFrame, classes: int, rounds: int, rate: float) -> tupl
             for b in C.slices(batches):
                 h, ending, row = _words(b)
                 unit = shared.value.of(h, ending)
-                yield _with_previous(unit, row, shared.value.start) << 20 | unit
+                yield _with_previous(unit, row, shared.value.start) << PAIR | unit
 
         for key, n in _counts(pieces()):
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["pair", "n"])
 
     pairs = C.cut(texts.mapInArrow(count_pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")))
+    # Of distinct pairs a unit has at most as many as there are units, so either end can have its own in one task, and rounds send nothing.
+    first, second = (C.cut(pairs.repartition(end)) for end in (F.shiftright("pair", PAIR), F.col("pair").bitwiseAND(_LOW)))
     size = units.start + 1
 
     def count_units(batches):
         total = np.zeros(size, np.int64)
         for b in batches:
-            total += np.bincount(b.column("pair").to_numpy() & 0xFFFFF, b.column("n").to_numpy(), minlength=size).astype(np.int64)
+            total += np.bincount(b.column("pair").to_numpy() & _LOW, b.column("n").to_numpy(), minlength=size).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["u", "n"])
 
     n = np.zeros(size, np.int64)
@@ -459,7 +482,7 @@ def _exchanged(texts: DataFrame, classes: int, rounds: int, rate: float) -> tupl
     k = classes
     cls = np.full(size, k, np.int64)  # the start of a text keeps the last class to itself
     cls[np.argsort(-n[:-1], kind="stable")] = np.arange(size - 1) % k
-    counts, best = np.zeros((k + 1, k)), (-np.inf, cls, np.zeros((k + 1, k)))
+    counts, best, reached = np.zeros((k + 1, k)), (-np.inf, cls, np.zeros((k + 1, k))), []
     for turn in range(rounds + 1):
         g = spark.sparkContext.broadcast(cls)
 
@@ -467,36 +490,37 @@ def _exchanged(texts: DataFrame, classes: int, rounds: int, rate: float) -> tupl
             total = np.zeros((k + 1) * k)
             for b in batches:
                 p, c = b.column("pair").to_numpy(), g.value
-                total += np.bincount(c[p >> 20] * k + c[p & 0xFFFFF], b.column("n").to_numpy(), minlength=len(total))
+                total += np.bincount(c[p >> PAIR] * k + c[p & _LOW], b.column("n").to_numpy(), minlength=len(total))
             yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0].astype(np.int64))], ["u", "n"])
 
-        got = pairs.mapInArrow(class_pairs, "u bigint, n bigint").groupBy("u").agg(F.sum("n").alias("n")).toArrow()
+        got = first.mapInArrow(class_pairs, "u bigint, n bigint").groupBy("u").agg(F.sum("n").alias("n")).toArrow()
         counts = np.zeros((k + 1) * k)
         counts[got["u"].to_numpy()] = got["n"].to_numpy()
         counts = counts.reshape(k + 1, k)
-        best = max(best, (likelihood(counts), cls, counts), key=lambda x: x[0])
-        if turn == rounds:
+        reached.append(likelihood(counts))
+        best = max(best, (reached[-1], cls, counts), key=lambda x: x[0])
+        if turn == rounds or turn > 2 and turn % 2 == 0 and reached[-1] - reached[-3] < LEAST * tokens:
             break
         wide = 2 * k + 2
 
-        def around(batches, g=g, turn=turn):
-            """Per unit whose turn it is: counts with the class after, the class before, and itself."""
+        def around(batches, g=g, turn=turn, after=True):
+            """Per unit whose turn it is: counts with the class after and itself, or with the class before."""
             c = g.value
             parts = []
             for b in batches:
                 p, m = b.column("pair").to_numpy(), b.column("n").to_numpy()
-                v, u = p >> 20, p & 0xFFFFF
-                for unit, other in ((v, c[u]), (u, k + c[v]), (u[u == v], None)):
-                    w = m if other is not None else m[u == v]
+                v, u = p >> PAIR, p & _LOW
+                for unit, other, w in ((v, c[u], m), (u[u == v], np.full((u == v).sum(), 2 * k + 1), m[u == v])) if after else ((u, k + c[v], m),):
                     mine = (unit % 2 == turn % 2) & (unit != size - 1)
-                    parts.append((unit[mine] * wide + (2 * k + 1 if other is None else other[mine]), w[mine]))
+                    parts.append((unit[mine] * wide + other[mine], w[mine]))
                 if sum(len(x) for x, _ in parts) > 2_000_000:
                     parts = [_summed(parts)]
             if parts:
                 key, m = _summed(parts)
                 yield pa.RecordBatch.from_arrays([pa.array(key // wide), pa.array(key % wide), pa.array(m)], ["u", "k", "n"])
 
-        got = pairs.mapInArrow(around, "u bigint, k bigint, n bigint").groupBy("u", "k").agg(F.sum("n").alias("n")).toArrow().sort_by([("u", "ascending")])
+        got = pa.concat_tables(rows.mapInArrow(lambda b, f=around, end=end: f(b, after=end), "u bigint, k bigint, n bigint").toArrow() for rows, end in ((first, True), (second, False)))
+        got = got.sort_by([("u", "ascending"), ("k", "ascending")])
         cls = exchange(counts, cls, *(got[c].to_numpy() for c in "ukn"))
     _, cls, counts = best
     return units, cls, counts, n, whole

@@ -155,6 +155,39 @@ def test_class_model_rows_and_nulls(spark):
     assert class_lm.scored(docs.limit(0), class_lm.train(docs.limit(0), classes=4, rounds=1)).count() == 0
 
 
+def test_scores_against_plain_counting(spark):
+    """Classes, counts, log-probability and perplexity of every text from dictionaries over its words; all words are units here."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["ab", "cd", "Ef", "gh,", "ij"], p=[0.4, 0.3, 0.1, 0.1, 0.1], size=rng.integers(1, 30))) for _ in range(40)] + [None, "", "ab ab"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    k = 3
+    model = class_lm.train(docs, classes=k, rounds=12)
+    assert model.tail is None
+    lists = [[w.strip(",").lower() for w in (t or "").split()] for t in texts]
+    h, _, _ = class_lm._words(spark_batch("ab cd ef gh ij"))
+    cls = dict(zip("ab cd ef gh ij".split(), model.cls[model.units.of(h, np.zeros(5, np.int32))].tolist()))
+    pair, word = {}, {}
+    for ws in lists:
+        for v, w in zip([None, *ws], ws):
+            a = k if v is None else cls[v]
+            pair[a, cls[w]] = pair.get((a, cls[w]), 0) + 1
+            word[w] = word.get(w, 0) + 1
+    size = np.bincount(model.cls[:-1], minlength=k)
+    into = [sum(n for (_, b), n in pair.items() if b == c) for c in range(k)]
+    total = sum(into)
+
+    def step(a, b):
+        row = sum(n for (x, _), n in pair.items() if x == a)
+        kinds = sum(x == a for x, _ in pair)
+        return (pair.get((a, b), 0) + (kinds + 1) * (into[b] + 1) / (total + k)) / (row + kinds + 1)
+
+    for r in class_lm.scored(docs, model).collect():
+        ws = lists[r.doc_id]
+        p = sum(np.log(step(k if v is None else cls[v], cls[w])) + np.log((word[w] + 0.5) / (into[cls[w]] + 0.5 * size[cls[w]])) for v, w in zip([None, *ws], ws))
+        assert r.n_words == len(ws) and abs(r.log_prob - p) < 1e-6
+        assert r.perplexity is None if not ws else abs(r.perplexity - np.exp(-p / len(ws))) < 1e-6 * r.perplexity
+
+
 def test_gains_of_many_are_those_of_each():
     rng = np.random.default_rng(2)
     units, k = 30, 4
