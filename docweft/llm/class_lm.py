@@ -464,9 +464,10 @@ def _exchanged(texts: DataFrame, classes: int, rounds: int, rate: float) -> tupl
         for key, n in _counts(pieces()):
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["pair", "n"])
 
-    pairs = C.cut(texts.mapInArrow(count_pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")))
     # Of distinct pairs a unit has at most as many as there are units, so either end can have its own in one task, and rounds send nothing.
-    first, second = (C.cut(pairs.repartition(end)) for end in (F.shiftright("pair", PAIR), F.col("pair").bitwiseAND(_LOW)))
+    pairs = texts.mapInArrow(count_pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    first = C.cut(pairs.repartition(F.shiftright("pair", PAIR)))
+    second = C.cut(first.repartition(F.col("pair").bitwiseAND(_LOW)))
     size = units.start + 1
 
     def count_units(batches):
@@ -476,7 +477,7 @@ def _exchanged(texts: DataFrame, classes: int, rounds: int, rate: float) -> tupl
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["u", "n"])
 
     n = np.zeros(size, np.int64)
-    got = pairs.mapInArrow(count_units, "u bigint, n bigint").groupBy("u").agg(F.sum("n").alias("n")).toArrow()
+    got = first.mapInArrow(count_units, "u bigint, n bigint").groupBy("u").agg(F.sum("n").alias("n")).toArrow()
     n[got["u"].to_numpy()] = got["n"].to_numpy()
 
     k = classes
