@@ -27,6 +27,8 @@ CATEGORIES = (*(f"group_{i + 1}" for i in range(GROUPS)), "toxic")
 BITS = 20
 STARTS = (4, 5, 6, 7, 8, 9)
 PAD = 20
+#: Documents that a feature needs to tell anything.
+LEAST_DOCS = 4
 FOLDS = 3
 
 
@@ -144,7 +146,7 @@ def _telling(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, z: float
     pos, neg, a, b = pos + 0.5, neg + 0.5, n_pos + 1, n_neg + 1
     score = np.log(pos / (a - pos + 0.5).clip(0.5)) - np.log(neg / (b - neg + 0.5).clip(0.5))
     score /= np.sqrt(1 / pos + 1 / neg)
-    return (np.abs(score) > z) & (pos + neg > 4)
+    return (np.abs(score) > z) & (pos + neg >= LEAST_DOCS + 1)
 
 
 def _select(row: np.ndarray, col: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -160,11 +162,15 @@ def groups_of(features: list[np.ndarray], toxic: np.ndarray, groups: int = GROUP
     """
     out = np.where(toxic > 0, 0, -1)
     mine = np.flatnonzero(toxic)
-    count = lambda at: np.bincount(np.concatenate([features[i] for i in at]) if len(at) else np.zeros(0, np.int64), minlength=1 << BITS)
-    pos, neg = count(mine), count(np.flatnonzero(toxic == 0))
-    tells = _telling(pos, neg, len(mine), len(toxic) - len(mine)) & (pos * max(1, len(toxic) - len(mine)) > neg * max(1, len(mine)))
-    own = np.flatnonzero(tells)
-    place = np.full(1 << BITS, -1)
+    pos, neg = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    for f, t in zip(features, toxic):
+        (pos if t else neg)[f] += 1
+    some = np.flatnonzero(pos + neg >= LEAST_DOCS)
+    a, b = pos[some], neg[some]
+    own = some[_telling(a, b, len(mine), len(toxic) - len(mine)) & (a.astype(float) * max(1, len(toxic) - len(mine)) > b.astype(float) * max(1, len(mine)))]
+    tells = np.zeros(1 << BITS, bool)
+    tells[own] = True
+    place = np.full(1 << BITS, -1, np.int32)
     place[own] = np.arange(len(own))
     lists = [place[features[i]][tells[features[i]]] for i in mine]
     size = np.array([len(x) for x in lists], int)
@@ -199,14 +205,17 @@ def _needed(features: list[np.ndarray], labels: np.ndarray, folds: int) -> np.nd
     whole = np.zeros((folds, 1 << BITS), np.int32)
     for i, f in enumerate(features):
         whole[fold[i], f] += 1
+    some = np.flatnonzero(whole.sum(0, dtype=np.int32) >= LEAST_DOCS)
+    whole = whole[:, some]
     for y in labels:
-        pos = np.zeros_like(whole)
+        pos = np.zeros((folds, 1 << BITS), np.int32)
         for i in np.flatnonzero(y):
             pos[fold[i], features[i]] += 1
+        pos = pos[:, some]
         for k in range(-1, folds):
             on = [j for j in range(folds) if j != k]
             p, n = pos[on].sum(0), int(y[fold != k].sum())
-            out |= _telling(p, whole[on].sum(0) - p, n, int((fold != k).sum()) - n)
+            out[some[_telling(p, whole[on].sum(0) - p, n, int((fold != k).sum()) - n)]] = True
     return out
 
 
@@ -260,6 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, negatives:
     unknown documents are not used. Without examples of both classes a category's probability is next to 0 or 1.
     """
     known = labels.select(F.col("doc_id").cast("bigint"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    C.small_batches(docs.sparkSession)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("toxic > 0").orderBy(*order).limit(positives).unionByName(known.where("toxic <= 0").orderBy(*order).limit(negatives))
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("text is not null").join(F.broadcast(chosen), "doc_id")
@@ -276,18 +286,22 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, negatives:
             pack = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(n), pack(f), pack(count)], ["doc_id", "toxic", "n", "f", "c"])
 
-    kept = texts.mapInArrow(run, "doc_id bigint, toxic int, n bigint, f binary, c binary").toArrow().sort_by([("doc_id", "ascending"), ("n", "ascending")])
-    toxic = np.array(kept["toxic"].to_pylist(), int).clip(0, 1)
-    f, count = ([np.frombuffer(x.as_buffer(), np.int32) for x in kept[c]] for c in "fc")
+    kept = texts.mapInArrow(run, "doc_id bigint, toxic int, n bigint, f binary, c binary").toArrow()
+    order = pc.sort_indices(kept, [("doc_id", "ascending"), ("n", "ascending")]).to_numpy()  # the table itself isn't copied
+    toxic, n = (np.array(kept[c].to_pylist(), float)[order] for c in ("toxic", "n"))
+    toxic = toxic.astype(int).clip(0, 1)
+    f, count = ([np.frombuffer(kept[c][i].as_buffer(), np.int32) for i in order.tolist()] for c in "fc")
     group = groups_of(f, toxic)
     y = np.array([*((group == k).astype(int) for k in range(GROUPS)), toxic])
     needed = _needed(f, y, FOLDS)
     hit = [needed[x] for x in f]
     row = np.repeat(np.arange(len(f), dtype=np.int32), [int(h.sum()) for h in hit])
     join = lambda xs: np.concatenate([x[h] for x, h in zip(xs, hit)]) if xs else np.zeros(0, np.int32)
-    col, count, n = join(f), join(count), np.array(kept["n"].to_pylist(), float)
+    col, count = join(f), join(count)
     del f, hit, kept
-    return fit_chain(row, col, count, n, y)
+    chain = fit_chain(row, col, count, n, y)
+    C.give_back()
+    return chain
 
 
 def scored(docs: DataFrame, chain: Chain) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from docweft.llm import chat_tree, flac, flac_write, pieces, surrogates
 
@@ -58,6 +59,44 @@ def test_broken_frames_and_seeking(spark):
     assert flac.blocks(spark.createDataFrame([], "id bigint, media binary"), "id", "media").count() == 0
 
 
+def test_long_blocks_are_those_of_single_steps(monkeypatch):
+    """Arrays of codes and of subframes against one code and one sample at a time."""
+    x = signal(2, 9000, 16)
+    for kind, order, parts in (("lpc", 8, 0), ("lpc", 2, 4), ("fixed", 2, 3)):
+        data = flac_write.encode(x, 16, 44100, 512, kind, order, parts=parts, mode=10)
+        monkeypatch.setattr(flac, "MANY_CODES", 2)
+        fast = np.concatenate([b[4] for b in flac.decode(data)], axis=1)
+        monkeypatch.setattr(flac, "MANY_CODES", 1 << 30)
+        monkeypatch.setattr(flac, "MANY_SUBFRAMES", 1 << 30)
+        assert np.array_equal(fast, x) and np.array_equal(np.concatenate([b[4] for b in flac.decode(data)], axis=1), x)
+        monkeypatch.undo()
+    for n in (0, 1, 127, 129, 1000):
+        data, state = RNG.bytes(n), 0
+        for b in data:
+            state = (state << 8 & 0xFFFF) ^ flac._T16[state >> 8 ^ b]
+        assert flac.crc16(data) == state
+
+
+def test_streams_that_break_off_or_hold_junk(spark):
+    x = signal(1, 2000, 16)
+    good = flac_write.encode(x, 16, 16000, 400)
+    starts = [b[0] for b in flac.decode(good)]
+    long = bytearray(good[: starts[1] + 30])
+    long[21:26] = (int.from_bytes(long[21:26]) & ~(2**36 - 1) | 15 << 32).to_bytes(5)  # STREAMINFO's total
+    false = bytes([0xFF, 0xF8, 0x70, 0x08, 0xFE, 0xBF, 0xBF, 0xBF, 0xBF, 0xBF, 0xBF, 1, 1])
+    false += bytes([flac.crc8(false)])  # a header whose CRC-8 holds, far ahead, without a frame
+    rows = [(1, bytes(long)), (2, good[: starts[3]]), (3, good[: starts[2]] + b"junk" + good[starts[2] :]), (4, good[: starts[2] + 9] + false + good[starts[3] :]), (5, good[: starts[2]] + good[starts[3] :]), (6, good[:20]), (7, good[:4] + b"\x84" + good[5:])]
+    media = spark.createDataFrame([(*r, "s", 5) for r in rows], "id bigint, media binary, status string, block int")
+    by = {}
+    for r in sorted(flac.blocks(media, "id", "media").collect(), key=lambda r: r.block):
+        by.setdefault(r.id, []).append((r.first_sample, r.n_samples, r.status))
+    assert by[1] == [(0, 400, "ok"), (400, (15 << 32) - 400, "bad")]
+    assert by[2] == [(0, 400, "ok"), (400, 400, "ok"), (800, 400, "ok"), (1200, 800, "bad")]
+    assert [r for r in by[3] if r[2] == "ok"] == [(i, 400, "ok") for i in range(0, 2000, 400)] and (800, 0, "bad") in by[3]
+    assert by[4] == by[5] == [(0, 400, "ok"), (400, 400, "ok"), (800, 400, "bad"), (1200, 400, "ok"), (1600, 400, "ok")]
+    assert by[6][0][2] == by[7][0][2] == "not flac"
+
+
 TEXTS = [
     "Hello world", "  two  blanks ", "", " ", "a", "\n", "line\nbreak\tand tab", "Straße für Ökonomie, naïve café", "日本語のテキスト", "emoji 😀😀 end", "▁mark ▁▁ here", "x" * 3000,
     "http://example.com/a?b=c&d=e#f", "1234567890 12.5 3,000", "the the the the", "\u0000ctrl", "<s> </s> <unk>", "Москва Россия", "    indented = code(1)\n        return", "ALL CAPS AND MiXeD", "don't can't won't", "é combining", "…—–“quotes”",
@@ -151,7 +190,11 @@ def test_chat_trees(spark):
             rows.append((c, t, ["system", "user", "assistant"][min(t, 2)], "You help." if t == 0 and c % 2 else rng.choice(said)))
     rows += [(100, 0, None, None), (100, 1, "user", "x"), (101, 0, "", ""), (None, 0, "user", "lost"), rows[0], (102, None, "user", "first"), (102, 0, "user", "second")]
     turns = spark.createDataFrame([(*r, "k") for r in rows], "conv_id bigint, turn bigint, role string, text string, path string")
-    got = chat_tree.packed(turns).collect()
+    check_trees(chat_tree.packed(turns).collect(), rows)
+    assert chat_tree.packed(turns.limit(0)).count() == 0
+
+
+def check_trees(got, rows):
     lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     convs: dict = {}
     for c, t, r, x in set(rows):
@@ -163,30 +206,57 @@ def test_chat_trees(spark):
         for t in sorted(turns_, key=str):
             path = (*path, t[1:])
             want.setdefault(path, []).append(c)
-    assert len(got) == len(want)
+    members, got = [r for r in got if r.kind == "conversation"], [r for r in got if r.kind == "turn"]
+    assert len(got) == len(want) == len({r.node for r in got})
     tokens = {p: lib.encode(chat_tree.rendered(*p[-1])) for p in want}
     by_tree: dict = {}
     for r in got:
         by_tree.setdefault(r.tree_id, []).append(r)
+    assert len(by_tree) == len({p[0] for p in want})
     # Walk every tree: what a token attends to must be exactly its ancestors' tokens, in order.
-    ends = {}
+    whole = {}
     for tree, nodes in by_tree.items():
-        nodes.sort(key=lambda r: r.offset)
+        nodes.sort(key=lambda r: (r.offset, r.depth))
         sequence = [i for r in nodes for i in r.ids]
         assert [r.offset for r in nodes] == list(np.concatenate(([0], np.cumsum([r.n_tokens for r in nodes])))[:-1])
         for r in nodes:
             above = [i for a, b in zip(r.attend_from, r.attend_to) for i in sequence[a:b]]
+            assert all(b < a for b, a in zip(r.attend_to, r.attend_from[1:]))
             assert r.position_ids == list(range(len(above), len(above) + r.n_tokens))
-            for c in r.ends:
-                ends[c] = (tree, above + r.ids, r.depth)
+            whole[r.node] = (tree, above + r.ids, r.depth)
+    assert sorted(r.conv_id for r in members) == sorted(convs)
+    ends = {r.conv_id: r for r in members}
     for p, cs in want.items():
         for c in cs:
             if len(p) == len(convs[c]):
-                assert ends[c][1] == [i for k in range(1, len(p) + 1) for i in tokens[p[:k]]] and ends[c][2] == len(p)
-    assert sorted(ends) == sorted(convs)
+                assert whole[ends[c].node] == (ends[c].tree_id, [i for k in range(1, len(p) + 1) for i in tokens[p[:k]]], len(p)) and ends[c].depth == len(p)
     assert sum(r.n_tokens for r in got) == sum(map(len, tokens.values()))
     assert sorted(r.n_conversations for r in got) == sorted(map(len, want.values()))
-    assert chat_tree.packed(turns.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_chat_trees_over_ranges(spark, parts):
+    """Deep shared paths, equal conversations and one prompt for all, over more and fewer ranges than there are conversations."""
+    rng = random.Random(parts)
+    rows = []
+    for c in range(50):
+        rows.append((c, 0, "system", "One prompt."))
+        rows += [(c, t, "user", rng.choice("ab")) for t in range(1, rng.randint(2, 10))]
+    rows += [(60 + c, t, "user", f"{t}") for c in range(3) for t in range(9)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        check_trees(chat_tree.packed(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect(), rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_long_conversation_and_a_long_text(spark):
+    rows = [(c, t, "user", f"turn {t if t < 5990 else t + c}") for c in range(2) for t in range(6000)] + [(2, 0, "user", "word " * 60000)]
+    got = chat_tree.packed(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    turns = got.where("kind = 'turn'").select("depth", "n_tokens", "n_conversations", "offset", F.size("attend_from").alias("n")).collect()
+    assert len(turns) == 6011 and max(r.depth for r in turns) == 6000 and {r.n for r in turns if r.depth > 5991} == {1, 2} and max(r.n_tokens for r in turns) > 60000
+    assert sorted(r.n_conversations for r in turns) == [1] * 21 + [2] * 5990
 
 
 PERSONAL = [
@@ -233,14 +303,73 @@ def test_surrogates_stay_distinct_when_they_collide(spark):
 
 
 def test_many_exceptions_are_joined(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(PERSONAL)] + [(60, None)], "doc_id bigint, text string")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(PERSONAL)] + [(60, None)] + [(100 + i, v[0]) for i, v in PEOPLE.items()], "doc_id bigint, text string")
     plain = sorted(map(str, surrogates.pseudonymised(docs, "secret").collect()))
     monkeypatch.setattr(surrogates, "IN_PLAN", -1)
     assert sorted(map(str, surrogates.pseudonymised(docs, "secret").collect())) == plain
 
 
+PEOPLE = {
+    1: ("Dr. Kim Lee met Ms. Kim Lee. Later Kim Lee left, and Lee's coat stayed.", "Kim Lee", 3, 4),
+    2: ("Anna Weber called. Weber said no; the weberin did not.", "Anna Weber", 1, 2),
+    3: ("Yesterday Kim Weber wrote to Jo Lee.", "Kim Weber", 1, 1),
+    4: ("Mr. Best was best. Best of all: nobody.", "Best", 1, 1),
+}
+
+
+def test_one_person_has_one_surrogate(spark):
+    """Titles don't split a person, bare parts follow the whole name, and a learned given name is found without a title."""
+    docs = spark.createDataFrame([(k, v[0]) for k, v in PEOPLE.items()], "doc_id bigint, text string")
+    text = {r.doc_id: r.text for r in surrogates.pseudonymised(docs, "secret").collect()}
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) met Ms\. (\w+) (\w+)\. Later (\w+) (\w+) left, and (\w+)'s coat stayed\.", text[1])
+    kim, lee = m.group(1, 2)
+    assert m.groups() == (kim, lee, kim, lee, kim, lee, lee) and "Kim" not in text[1] and "Lee" not in text[1]
+    m = re.fullmatch(r"(\w+) (\w+) called\. (\w+) said no; the weberin did not\.", text[2])
+    assert m and m.group(2) == m.group(3) != "Weber"
+    weber = m.group(2)
+    m = re.fullmatch(r"Yesterday (\w+) (\w+) wrote to Jo Lee\.", text[3])
+    assert m and m.groups() == (kim, weber)
+    assert re.fullmatch(r"Mr\. \w+ was best\. Best of all: nobody\.", text[4])
+    gender = {r.entity: r.gender for r in surrogates.entities(docs, surrogates.given_names(docs)).where("kind = 'name_g'").collect()}
+    assert gender == {"kim": "f", "anna": "f"}
+
+
+def test_surrogates_end_where_a_format_is_exhausted(spark):
+    mails = [f"_@{c}.io" for c in "acm"] + ["-@-.io"]
+    docs = spark.createDataFrame([(i, f"To {m} now") for i, m in enumerate(mails)], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in surrogates.pseudonymised(docs, "secret").collect()}
+    assert len(set(got.values())) == 4 and not any(m in got[i] for i, m in enumerate(mails))
+    everyone = spark.createDataFrame([("phone", f"+49{i}") for i in range(10)] + [("ip", f"127.0.0.{i}") for i in range(3)], "kind string, entity string")
+    new = {(r.kind, r.entity): r.new for r in surrogates.exceptions(everyone, b"k").collect()}
+    all_of = [new.get((r.kind, r.entity)) or surrogates.surrogate(b"k", r.kind, r.entity) for r in everyone.collect()]
+    assert len(set(all_of)) == 13 and not {r.entity for r in everyone.collect()} & set(all_of)
+
+
+def test_spans_against_every_substring():
+    """Names in texts put together at random, against a search of all pairs of words."""
+    rng = random.Random(4)
+    given, family = ["Kim", "Zed", "Oma"], ["Lee", "Park", "Ode"]
+    for _ in range(300):
+        words = rng.choices([*given, *family, "and", "went", "park"], k=rng.randint(1, 14))
+        text = " ".join(words)
+        out = {(lo, hi) for lo, hi, *_ in surrogates.spans(text, frozenset(g.casefold() for g in given))}
+        at = [sum(map(len, words[:i])) + i for i in range(len(words))]
+        cap = [w[0].isupper() for w in words]
+        hit, i = set(), 0
+        while i < len(words):
+            if words[i] in given and i + 1 < len(words) and cap[i + 1]:
+                n = 3 if i + 2 < len(words) and cap[i + 2] else 2
+                hit |= set(range(i, i + n))
+                i += n
+            else:
+                i += 1
+        names = {words[j] for j in hit if words[j].lower() not in words}
+        hit |= {j for j, w in enumerate(words) if w in names}
+        assert out == {(at[j], at[j] + len(words[j])) for j in hit}, text
+
+
 HIDDEN = [
-    "+49 30 12 34 56", "+1 (20) 30 40 50", "Г-н Иванов пришёл", "Г-жа Смирнова и Г-н. Орлов", "Mr.\u00a0Weber", "DE89 ABCD EFGH IJKL MN", "token\u00a0= abcdefghijklm", "secret\x0b: abcdefghijklm", "+٤٩ ٣٠ ١٢ ٣٤ ٥٦", "MARIA GARCÍA", "a_b@c.de", "1.2.3.4",
+    "+33 1 23 45 67 89", "API_KEY=abcdefghijklm", "+49 30 12 34 56", "+1 (20) 30 40 50", "Г-н Иванов пришёл", "Г-жа Смирнова и Г-н. Орлов", "Mr.\u00a0Weber", "DE89 ABCD EFGH IJKL MN", "token\u00a0= abcdefghijklm", "secret\x0b: abcdefghijklm", "+٤٩ ٣٠ ١٢ ٣٤ ٥٦", "MARIA GARCÍA", "a_b@c.de", "1.2.3.4",
 ]
 
 
