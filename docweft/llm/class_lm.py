@@ -39,6 +39,8 @@ ROUNDS, LEAST = 16, 2e-3
 SLICE = 4 << 20
 #: Words whose gains are computed together.
 TOGETHER = 4096
+#: Pairs in a blob.
+PACK = 1 << 17
 
 
 def _words(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,6 +79,40 @@ def _counts(pieces: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarr
         yield _summed(parts)
 
 
+def _packed(pairs: DataFrame) -> DataFrame:
+    """``blob``: the rows of ``pairs`` (``pair, n``) by the PACK in a row, each partition's in its own; the rounds read them some fifty times, and a row costs the JVM as much as its numbers cost numpy."""
+
+    def run(batches):
+        parts, rows = [], 0
+        for b in batches:
+            parts.append(np.stack([b.column(i).to_numpy() for i in range(2)]))
+            rows += b.num_rows
+            if rows >= PACK:
+                yield _blob(parts)
+                parts, rows = [], 0
+        if rows:
+            yield _blob(parts)
+
+    return C.cut(pairs.mapInArrow(run, "blob binary"))
+
+
+def _blob(parts: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([np.concatenate(parts, axis=1).tobytes()], pa.binary())], ["blob"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs and counts of every blob."""
+    for b in batches:
+        for blob in b.column("blob"):
+            x = np.frombuffer(blob.as_buffer(), np.int64)
+            yield x[: len(x) // 2], x[len(x) // 2 :]
+
+
+def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for p, n in _unpacked(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(n)], ["pair", "n"])
+
+
 class Units:
     """Numbers of units: frequent words by hash, then endings, then the start of a text."""
 
@@ -466,14 +502,14 @@ def _exchanged(texts: DataFrame, classes: int, rounds: int, rate: float) -> tupl
 
     # Of distinct pairs a unit has at most as many as there are units, so either end can have its own in one task, and rounds send nothing.
     pairs = texts.mapInArrow(count_pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    first = C.cut(pairs.repartition(F.shiftright("pair", PAIR)))
-    second = C.cut(first.repartition(F.col("pair").bitwiseAND(_LOW)))
+    first = _packed(pairs.repartition(F.shiftright("pair", PAIR)))
+    second = _packed(first.mapInArrow(_pair_rows, "pair bigint, n bigint").repartition(F.col("pair").bitwiseAND(_LOW)))
     size = units.start + 1
 
     def count_units(batches):
         total = np.zeros(size, np.int64)
-        for b in batches:
-            total += np.bincount(b.column("pair").to_numpy() & _LOW, b.column("n").to_numpy(), minlength=size).astype(np.int64)
+        for p, m in _unpacked(batches):
+            total += np.bincount(p & _LOW, m, minlength=size).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["u", "n"])
 
     n = np.zeros(size, np.int64)
@@ -489,9 +525,9 @@ def _exchanged(texts: DataFrame, classes: int, rounds: int, rate: float) -> tupl
 
         def class_pairs(batches, g=g):
             total = np.zeros((k + 1) * k)
-            for b in batches:
-                p, c = b.column("pair").to_numpy(), g.value
-                total += np.bincount(c[p >> PAIR] * k + c[p & _LOW], b.column("n").to_numpy(), minlength=len(total))
+            c = g.value
+            for p, m in _unpacked(batches):
+                total += np.bincount(c[p >> PAIR] * k + c[p & _LOW], m, minlength=len(total))
             yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0].astype(np.int64))], ["u", "n"])
 
         got = first.mapInArrow(class_pairs, "u bigint, n bigint").groupBy("u").agg(F.sum("n").alias("n")).toArrow()
@@ -508,8 +544,7 @@ def _exchanged(texts: DataFrame, classes: int, rounds: int, rate: float) -> tupl
             """Per unit whose turn it is: counts with the class after and itself, or with the class before."""
             c = g.value
             parts = []
-            for b in batches:
-                p, m = b.column("pair").to_numpy(), b.column("n").to_numpy()
+            for p, m in _unpacked(batches):
                 v, u = p >> PAIR, p & _LOW
                 for unit, other, w in ((v, c[u], m), (u[u == v], np.full((u == v).sum(), 2 * k + 1), m[u == v])) if after else ((u, k + c[v], m),):
                     mine = (unit % 2 == turn % 2) & (unit != size - 1)

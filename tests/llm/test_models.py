@@ -260,3 +260,20 @@ def test_rare_words_have_counts_and_classes_of_their_own(spark):
 
 def spark_batch(w):
     return pa.RecordBatch.from_arrays([pa.array([w])], ["text"])
+
+
+def test_rounds_read_few_rows(spark, monkeypatch):
+    """Pairs are kept in blobs, all of a partition's and only its own, so that a round costs the JVM a few rows."""
+    monkeypatch.setattr(class_lm, "PACK", 1000)
+    want = {(v << class_lm.PAIR | u): v + 7 * u + 1 for v in range(40) for u in range(300)}
+    rows = spark.createDataFrame(list(want.items()), "pair bigint, n bigint").repartition(5, F.shiftright("pair", class_lm.PAIR))
+    packed = class_lm._packed(rows)
+    assert packed.count() <= 17
+    assert {r.pair: r.n for r in packed.mapInArrow(class_lm._pair_rows, "pair bigint, n bigint").collect()} == want
+
+    def units(batches):
+        seen = {int(v) for p, _ in class_lm._unpacked(batches) for v in p >> class_lm.PAIR}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.int64())], ["v"])
+
+    assert sorted(r.v for r in packed.mapInArrow(units, "v bigint").collect()) == list(range(40))
+    assert class_lm._packed(rows.limit(0)).count() == 0
