@@ -30,6 +30,8 @@ PAD = 20
 #: Documents that a feature needs to tell anything.
 LEAST_DOCS = 4
 FOLDS = 3
+#: Entries of a sparse table that are multiplied together.
+PIECE = 1 << 18
 
 
 def _features(texts: pa.Array) -> tuple[Iterator[tuple[np.ndarray, np.ndarray]], np.ndarray]:
@@ -91,10 +93,17 @@ class _Sparse:
         self.row, self.col, self.val, self.rows, self.cols = row, col, val, rows, cols
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.val * w.astype(np.float32)[self.col], minlength=self.rows)
+        return self._summed(self.row, self.col, w.astype(np.float32), self.rows)
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, self.val * g.astype(np.float32)[self.row], minlength=self.cols)
+        return self._summed(self.col, self.row, g.astype(np.float32), self.cols)
+
+    def _summed(self, to: np.ndarray, of: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(size)
+        for i in range(0, len(to), PIECE):  # bincount copies what it gets, in 8 bytes a number
+            j = slice(i, i + PIECE)
+            out += np.bincount(to[j], self.val[j] * x[of[j]], minlength=size)
+        return out
 
 
 def _fit(x: _Sparse, extra: np.ndarray, y: np.ndarray, keep: np.ndarray, steps: int = 60, l2: float = 2e-4, memory: int = 10) -> tuple[np.ndarray, np.ndarray, float]:
@@ -150,8 +159,13 @@ def _telling(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, z: float
 
 
 def _select(row: np.ndarray, col: np.ndarray, y: np.ndarray) -> np.ndarray:
-    pos = np.bincount(col[y[row] > 0], minlength=1 << BITS)
-    return np.flatnonzero(_telling(pos, np.bincount(col[y[row] == 0], minlength=1 << BITS), int(y.sum()), int((y == 0).sum())))
+    pos, neg = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for i in range(0, len(col), 4 * PIECE):
+        c, yes = col[i : i + 4 * PIECE], y[row[i : i + 4 * PIECE]] > 0
+        pos += np.bincount(c[yes], minlength=1 << BITS)
+        neg += np.bincount(c[~yes], minlength=1 << BITS)
+    some = np.flatnonzero(pos + neg)  # the others tell nothing, and there are many
+    return some[_telling(pos[some], neg[some], int(y.sum()), int((y == 0).sum()))]
 
 
 def groups_of(features: list[np.ndarray], toxic: np.ndarray, groups: int = GROUPS, rounds: int = 20) -> np.ndarray:
@@ -230,8 +244,8 @@ def fit_chain(row: np.ndarray, col: np.ndarray, count: np.ndarray, n_words: np.n
 
         def model(keep: np.ndarray):
             mine = keep[row]
-            chosen = _select((np.cumsum(keep) - 1)[row[mine]], col[mine], y[keep])
-            place = np.full(1 << BITS, -1)
+            chosen = _select((np.cumsum(keep) - 1).astype(np.int32)[row[mine]], col[mine], y[keep])
+            place = np.full(1 << BITS, -1, np.int32)
             place[chosen] = np.arange(len(chosen))
             hit = place[col] >= 0
             x = _Sparse(row[hit], place[col[hit]], value[hit], rows, len(chosen))
@@ -299,6 +313,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, negatives:
     join = lambda xs: np.concatenate([x[h] for x, h in zip(xs, hit)]) if xs else np.zeros(0, np.int32)
     col, count = join(f), join(count)
     del f, hit, kept
+    C.give_back()
     chain = fit_chain(row, col, count, n, y)
     C.give_back()
     return chain
