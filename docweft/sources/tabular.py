@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweft.functions import text as T
+from docweft.functions.lineage import cut
 
 BATCH_CHARS, SAMPLE_ROWS, MOST, HARD_MOST = 1600, 50, 50, 200
 DELIMITERS = (",", ";", "\t", "|")
@@ -88,8 +89,11 @@ def batch_size(rows: DataFrame, columns: Sequence[str], order: str, most: int =
 
 
 def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """``rows`` with ``_row``, 1-based in order, without one task for all rows: ranges count, then are raised."""
-    parts = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    """``rows`` with ``_row``, 1-based in order, without one task for all rows: ranges count, then are raised.
+
+    The ranges' borders are drawn from a sample, another one each time they are made, so both readings are of ranges written once.
+    """
+    parts = cut(rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
     counts = parts.groupBy("_part").count()
     base = counts.withColumn("_base", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_base")
     at = F.row_number().over(Window.partitionBy("_part").orderBy(order))
@@ -100,7 +104,7 @@ def batches(rows: DataFrame, columns: Sequence[str], order: str, most: int = MOS
     """``batch, first_row, last_row, total, label, content`` of a table in order of a column without ties."""
     size = batch_size(rows, columns, order, most).first()["size"]
     total = rows.count()
-    line = numbered(rows, order).select("_row", narrative(columns).alias("line")).withColumn("batch", F.ceil(F.col("_row") / size).cast("int"))
+    line = numbered(rows.select(narrative(columns).alias("line"), order), order).withColumn("batch", F.ceil(F.col("_row") / size).cast("int"))
     g = line.groupBy("batch").agg(F.min("_row").alias("first_row"), F.max("_row").alias("last_row"), F.array_sort(F.collect_list(F.when(F.col("line") != "", F.struct("_row", "line")))).alias("x"))
     label = F.concat(F.lit("Batch "), F.col("batch").cast("string"), F.lit(": baris "), F.col("first_row").cast("string"), F.lit("-"), F.col("last_row").cast("string"), F.lit(f" dari {total}"))
     return g.select("batch", "first_row", "last_row", F.lit(total).cast("bigint").alias("total"), label.alias("label"), F.array_join(F.transform("x", lambda v: v["line"]), "\n").alias("content"))

@@ -294,3 +294,16 @@ def test_json_lines(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"id": "a", "text": "t", "validation": {"quality_score": 50}}\n\n{"id": "b", "text": "u"}\n')
     assert [r.id for r in files.read_chunks(spark, str(tmp_path / "x.jsonl"), 60).collect()] == ["b"]
     assert files.read_chunks(spark, str(tmp_path / "x.jsonl")).count() == 2
+
+
+def test_rows_are_numbered_over_ranges_of_one_sample(spark):
+    """Ranges made twice have borders of two samples; counts of the one then number the rows of the other wrongly."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        rows = spark.range(40_000, numPartitions=4).select(F.pmod(F.col("id") * 7919, F.lit(40_000)).alias("k"), F.hex("id").alias("name"))
+        assert all(r._row == r.k + 1 for r in tabular.numbered(rows, "k").collect())
+        got = tabular.batches(rows, ["name"], "k").collect()
+        assert len(got) == 800 and all(r.last_row - r.first_row == 49 and r.content.count("\n") == 49 for r in got)
+    finally:
+        spark.conf.unset(name)
