@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from docweft.config import Chunking, Config
 from docweft.functions import text as T
-from docweft.functions.lineage import shared_folder, spread
+from docweft.functions.lineage import shared_folder, small_batches, spread
 from docweft.operators import chunk, clean, embed, export, generate, hierarchy, validate, vectors
 from docweft.plans import pipelines
 from docweft.sources import elements, files, html, tabular
@@ -44,6 +44,7 @@ TEXTS = ("documents", "pages", "benchmark")
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(rows) if name in TEXTS else rows
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docweft.config import Config
 from docweft.functions import text as T
 from docweft.functions import tokens
-from docweft.functions.lineage import cut
+from docweft.functions.lineage import cut, small_batches
 from docweft.operators import chunk, clean, embed, export, generate, hierarchy, validate, vectors
 from docweft.sources import elements, files
 
@@ -35,6 +35,7 @@ class Processed:
 
 def from_elements(e: DataFrame, names: DataFrame | None = None, cfg: Config = Config(), paged: bool | None = None) -> Processed:
     """Cleaning, hierarchy, blocks, chunks, metadata and validation of an element table; ``paged`` tells whether it has page breaks."""
+    small_batches(e.sparkSession)
     tree = cut(hierarchy.promote_headings(clean.clean(e, cfg.cleaning, paged)))  # read for blocks and for language samples
     blocks = hierarchy.blocks(tree)
     chunks = chunk.chunks(blocks, names, cfg.chunking)

@@ -318,3 +318,21 @@ def test_line_classes_of_texts_that_end_with_a_break(spark, duck, compare):
     got = elements.classify_txt(spark.createDataFrame(texts, "doc_id long, text string")).groupBy("cls").agg(F.count("*").alias("n"))
     compare(got.toPandas(), own.execute(catalogue.ORACLE["txt_line_classes"]).fetchdf())
     assert elements.parse_txt(spark.createDataFrame(texts, "doc_id long, text string")).count() == 3
+
+
+def test_texts_go_to_python_in_small_batches(spark, small):
+    import pyarrow as pa
+
+    @F.arrow_udf("int")
+    def rows_at_once(x: pa.Array) -> pa.Array:
+        return pa.array([len(x)] * len(x), pa.int32())
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, str(64 << 20))
+    try:
+        catalogue.QUERIES["text_unicode"](spark, small)
+        long = spark.range(24, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+        assert long.select(rows_at_once("text").alias("n")).agg(F.max("n")).first()[0] <= 5
+    finally:
+        spark.conf.set(name, old or str(64 << 20))
