@@ -40,3 +40,13 @@ def counter(encoding: str = "words") -> Callable[[Column], Column]:
         return pd.Series(_encoder(encoding)(s.fillna("").tolist()), dtype="int32")
 
     return run
+
+
+def array_counter(encoding: str) -> Callable[[Column], Column]:
+    """As ``counter``, of every text of an array, with the vocabulary of a path."""
+
+    @F.pandas_udf("array<int>")
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([_encoder(encoding)([x or "" for x in texts]) for texts in s])
+
+    return run

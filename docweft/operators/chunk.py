@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweft.config import Chunking
@@ -56,22 +56,25 @@ def element_units(x: Column, cfg: Chunking, page_start: Column) -> Column:
     items = F.filter(x["items"], lambda v: ~T.is_blank(v))
     marked = F.when(x["type"] == "numbered_list", F.transform(items, lambda v, i: F.concat((i + 1).cast("string"), F.lit(". "), v))).otherwise(F.transform(items, lambda v: F.concat(F.lit("- "), v)))
     rows = F.transform(F.filter(x["rows"], lambda r: F.size(r) > 0), lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, T.strip), " | "), F.lit(" |")))
-    sentences = T.split_sentences(body)
     forced = lambda v: F.transform(force_split(v, cfg), lambda p: _unit(p, "paragraph", False, page))
     one = F.when(T.count_tokens(body) > cfg.max_tokens, forced(body)).otherwise(F.array(_unit(body, "paragraph", False, page)))
-    many = F.flatten(F.transform(sentences, lambda v: F.when(T.count_tokens(v) > cfg.max_tokens, forced(v)).otherwise(F.array(_unit(v, "sentence", False, page)))))
+    many = lambda xs: F.flatten(F.transform(xs, lambda v: F.when(T.count_tokens(v) > cfg.max_tokens, forced(v)).otherwise(F.array(_unit(v, "sentence", False, page)))))
     return (
         F.when(x["type"] == "heading", F.when(body != "", F.array(_unit(body, "heading", True, F.lit(None)))).otherwise(_none()))
         .when(x["type"].isin("bullet_list", "numbered_list"), F.when(F.size(items) > 0, F.array(_unit(F.array_join(marked, "\n"), "list", True, page))).otherwise(_none()))
         .when(x["type"] == "table", F.when(F.size(rows) > 0, F.array(_unit(F.array_join(rows, "\n"), "table", True, page))).otherwise(_none()))
         .when(body == "", _none())
         .when(x["type"].isin("caption", "image_caption"), F.array(_unit(body, "caption", True, page)))
-        .otherwise(F.when(F.size(sentences) <= 1, one).otherwise(many))
+        .otherwise(T.let(T.split_sentences(body), lambda xs: F.when(F.size(xs) <= 1, one).otherwise(many(xs))))
     )
 
 
 def units(blocks: DataFrame, cfg: Chunking = Chunking()) -> DataFrame:
-    """``doc_id, unit, text, kind, atomic, page, chapter, section, page_start, page_end, block_type, n_tok``, numbered by document."""
+    """``doc_id, u``: all units of a document in order, each with its page, its block's context and ``n_tok``.
+
+    A block's units stay one array and only blocks are exchanged, so no sentence is a row of its own.
+    A vocabulary is no expression, so its counts come from one flat array of texts by document.
+    """
     start = F.coalesce("page_start", F.lit(1))
     known = blocks.select(
         "doc_id", "block", F.coalesce("chapter", F.lit("")).alias("chapter"), F.coalesce("section", F.lit("")).alias("section"),
@@ -79,9 +82,14 @@ def units(blocks: DataFrame, cfg: Chunking = Chunking()) -> DataFrame:
     )
     title = F.when(F.coalesce("title", F.lit("")) != "", F.array(_unit(F.col("title"), "heading", True, F.lit(None)))).otherwise(_none())
     all_units = F.concat(title, F.flatten(F.transform("elements", lambda x: element_units(x, cfg, F.col("page_start")))))
-    flat = known.select("doc_id", "block", "chapter", "section", "page_start", "page_end", "block_type", F.posexplode(all_units).alias("at", "u"))
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("block", "at")) - 1
-    return flat.select("doc_id", number.alias("unit"), "u.*", "chapter", "section", "page_start", "page_end", "block_type", tokens.counter(cfg.encoding)(F.col("u.text")).alias("n_tok"))
+    estimate = T.count_tokens if cfg.encoding == "words" else lambda x: F.lit(0)
+    one = lambda v: F.struct(*[v[c].alias(c) for c in ("text", "kind", "atomic", "page")], *map(F.col, ("chapter", "section", "page_start", "page_end", "block_type")), estimate(v["text"]).alias("n_tok"))
+    by_block = known.select("doc_id", "block", F.transform(all_units, one).alias("us")).where("size(us) > 0")
+    doc = by_block.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block", "us"))).alias("x")).select("doc_id", F.flatten(F.transform("x", lambda b: b["us"])).alias("u"))
+    if cfg.encoding == "words":
+        return doc
+    counts = tokens.array_counter(cfg.encoding)(F.transform("u", lambda v: v["text"]))
+    return doc.withColumn("n", counts).select("doc_id", F.transform("u", lambda v, i: v.withField("n_tok", F.get(F.col("n"), i))).alias("u"))
 
 
 def pack(n: list[int], atomic: list[bool], heading: list[bool], cfg: Chunking) -> list[list[int]]:
@@ -147,12 +155,11 @@ def pack_column(cfg: Chunking) -> Callable[[Column, Column, Column], Column]:
 
 def groups(u: DataFrame, cfg: Chunking = Chunking()) -> DataFrame:
     """``doc_id, chunk_index, total_chunk, us``: the units of every chunk, in order."""
-    x = F.struct("unit", "text", "kind", "atomic", "page", "chapter", "section", "page_start", "page_end", "block_type", "n_tok")
-    doc = u.groupBy("doc_id").agg(F.array_sort(F.collect_list(x)).alias("u"))
     part = lambda f: F.transform("u", f)
-    doc = doc.withColumn("g", pack_column(cfg)(part(lambda v: v["n_tok"]), part(lambda v: v["atomic"]), part(lambda v: v["kind"] == "heading")))
-    each = doc.select("doc_id", "u", F.size("g").alias("total_chunk"), F.posexplode("g").alias("chunk_index", "at"))
-    return each.select("doc_id", "chunk_index", "total_chunk", F.transform("at", lambda i: F.get(F.col("u"), i)).alias("us"))
+    doc = u.withColumn("g", pack_column(cfg)(part(lambda v: v["n_tok"]), part(lambda v: v["atomic"]), part(lambda v: v["kind"] == "heading")))
+    # Units are put into their chunks before there is a row a chunk: a row that still had all units would make as many copies of a document as it has chunks.
+    own = F.transform("g", lambda at: F.transform(at, lambda i: F.get(F.col("u"), i)))
+    return doc.select("doc_id", F.size("g").alias("total_chunk"), F.posexplode(own).alias("chunk_index", "us")).select("doc_id", "chunk_index", "total_chunk", "us")
 
 
 def context_header(chapter: Column, section: Column) -> Column:

@@ -346,3 +346,10 @@ def test_whole_texts_become_elements_without_an_exchange(spark, kind):
     e = parse(docs)
     assert "Exchange" not in e._jdf.queryExecution().executedPlan().toString()
     assert sorted(e.collect(), key=str) == sorted(elements._assemble(classify(docs)).collect(), key=str)
+
+
+def test_summary_makes_chunks_once_and_chunks_exchange_blocks(spark):
+    done = pipelines.process_texts(spark.createDataFrame([("a", MARKDOWN)], "doc_id string, text string"))
+    assert done.summary()._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    u = chunk.units(spark.createDataFrame(done.blocks.collect(), done.blocks.schema))
+    assert u.count() == 1 and "Window" not in chunk.groups(u)._jdf.queryExecution().optimizedPlan().toString()
