@@ -56,26 +56,43 @@ def page_numbers(e: DataFrame) -> DataFrame:
     return prune(_page_numbers(e))
 
 
+#: Numbers of ``ord`` whose pages one task counts, and bytes of lines that are sent to every executor; more are joined by a shuffle.
+STRETCH, BROADCAST_BYTES = 4096, 8 << 20
+
+
+def _pages(e: DataFrame) -> DataFrame:
+    """``e`` with ``page``, the page breaks of its document up to it. Stretches of ``ord`` count theirs, then are raised by those before, so no task takes a whole document."""
+    e = e.withColumn("_dw_at", F.coalesce(F.floor(F.col("ord") / STRETCH), F.lit(-(1 << 62)))).withColumn("_dw_b", (F.col("type") == "page_break").cast("int"))
+    sums = e.groupBy("doc_id", "_dw_at").agg(F.sum("_dw_b").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("doc_id").orderBy("_dw_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = sums.select(F.col("doc_id").alias("_dw_doc"), F.col("_dw_at").alias("_dw_to"), before.alias("_dw_base"))
+    own = F.sum("_dw_b").over(Window.partitionBy("doc_id", "_dw_at").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    j = e.withColumn("page", own).join(base, F.col("doc_id").eqNullSafe(F.col("_dw_doc")) & (F.col("_dw_at") == F.col("_dw_to")))
+    return j.withColumn("page", F.col("page") + F.col("_dw_base")).drop("_dw_at", "_dw_b", "_dw_doc", "_dw_to", "_dw_base")
+
+
 def boilerplate_lines(e: DataFrame, header: bool = True, share: float = 0.5) -> DataFrame:
-    """``doc_id, lines``: what stands among the first (or last) two lines of enough pages of a document."""
-    by_doc = Window.partitionBy("doc_id").orderBy("ord")
+    """``doc_id, lines``: what stands among the first (or last) two lines of enough pages of a document. Of an element, only the two lines that may count are exchanged, and none of 200 characters or more."""
     some = lambda x: F.when(F.coalesce(F.length(x), F.lit(0)) > 0, T.lines(x)).otherwise(F.array().cast("array<string>"))
     cells = F.flatten(F.transform(F.flatten(F.coalesce("rows", F.array().cast("array<array<string>>"))), some))
     own = F.concat(some(F.col("content")), F.flatten(F.transform(F.coalesce("items", F.array().cast("array<string>")), some)), cells)
-    paged = e.withColumn("page", F.sum((F.col("type") == "page_break").cast("int")).over(by_doc.rowsBetween(Window.unboundedPreceding, 0))).where("type <> 'page_break'")
-    line = paged.select("doc_id", "page", "ord", F.posexplode(own).alias("at", "line"))
+    two = T.let(own, lambda x: F.slice(x, 1, 2) if header else F.slice(x, F.greatest(F.lit(1), F.size(x) - 1), F.lit(2)))
+    short = F.transform(two, lambda x: T.let(T.strip(x), lambda s: F.when((s != "") & (F.length(s) < 200), s)))
+    paged = _pages(e.select("doc_id", "ord", "type", short.alias("own"))).where("type <> 'page_break'")
+    line = paged.select("doc_id", "page", "ord", F.posexplode("own").alias("at", "line"))
     place = [F.col("ord"), F.col("at")] if header else [F.col("ord").desc(), F.col("at").desc()]
     line = line.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(*place))).where("n <= 2")
-    line = line.withColumn("pages", F.size(F.collect_set("page").over(Window.partitionBy("doc_id")))).withColumn("line", T.strip("line"))
-    count = line.where("pages >= 2 and line <> '' and length(line) < 200").groupBy("doc_id", "line").agg(F.count("*").alias("n"), F.first("pages").alias("pages"))
+    pages = line.where("n = 1").groupBy("doc_id").agg(F.count("*").alias("pages")).where("pages >= 2")
+    count = line.where("line is not null").groupBy("doc_id", "line").agg(F.count("*").alias("n")).where("n >= 2").join(pages, "doc_id")
     return count.where(F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("pages") * F.lit(share)))).groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
 
 
 def repeated_lines(e: DataFrame, header: bool = True, share: float = 0.5) -> DataFrame:
     """Headers (or footers) that repeat from page to page, cut from every element of their document."""
-    found = boilerplate_lines(e, header, share)
+    found = cut(boilerplate_lines(e, header, share))
+    size = found.agg(F.sum(F.octet_length(F.array_join("lines", "\n")) + 64)).first()[0] or 0
     kept = lambda x: T.strip(F.array_join(F.filter(T.lines(x), lambda y: ~F.array_contains("lines", T.strip(y))), "\n"))
-    j = e.join(found, "doc_id", "left")
+    j = e.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "doc_id", "left")  # a few documents are few keys to shuffle by
     out = j.withColumn("content", F.when(F.col("lines").isNotNull() & (F.col("content") != ""), kept(F.col("content"))).otherwise(F.col("content")))
     out = out.withColumn("items", F.when(F.col("lines").isNotNull(), F.transform("items", kept)).otherwise(F.col("items")))
     out = out.withColumn("rows", F.when(F.col("lines").isNotNull(), F.transform("rows", lambda r: F.transform(r, kept))).otherwise(F.col("rows")))

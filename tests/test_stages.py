@@ -353,3 +353,16 @@ def test_summary_makes_chunks_once_and_chunks_exchange_blocks(spark):
     assert done.summary()._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
     u = chunk.units(spark.createDataFrame(done.blocks.collect(), done.blocks.schema))
     assert u.count() == 1 and "Window" not in chunk.groups(u)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("header", [True, False])
+def test_headers_of_one_document_are_not_one_task(spark, header):
+    """The only window by document alone is over sums of stretches; no text goes through it."""
+    rows = [("d", 2 * i + k, "page_break" if k else "paragraph", "" if k else f"KOP\n{'x' * 300}\nisi {i}\nKAKI") for i in range(6000) for k in (0, 1)]
+    e = spark.createDataFrame(rows, "doc_id string, ord long, type string, content string").withColumn("items", elements.no_items()).withColumn("rows", elements.no_rows())
+    found = clean.boilerplate_lines(e, header)
+    assert [(r.doc_id, r.lines) for r in found.collect()] == [("d", ["KOP" if header else "KAKI"])]
+    windows = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x and "[doc_id#" in x and "], [doc_id#" not in x]
+    assert all("content#" not in x for x in windows)
+    assert clean._pages(e).select(F.max("page")).first()[0] == 6000
+    assert {r.content for r in clean.repeated_lines(e, header).where("type <> 'page_break' and ord < 2").collect()} == {("KOP\n" if not header else "") + "x" * 300 + "\nisi 0" + ("\nKAKI" if header else "")}
